@@ -24,6 +24,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -149,7 +150,7 @@ def _blocks(batches, most: int = 8_000_000):
     """Batches of at most so many bytes of text, but one row at least."""
     for b in batches:
         size, start = 0, 0
-        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
         for i in range(b.num_rows):
             if i > start and ends[i] - size > most:
                 yield b.slice(start, i - start)

@@ -20,6 +20,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,8 +55,8 @@ def _weights(bits: int) -> list[int]:
 
 def _quantise(column: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray]:
     """(numbers of usable rows, their integers, shorter rows padded with zeros)."""
-    lengths = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-    flat = pa.compute.cast(column.flatten(), pa.float64()).to_numpy(zero_copy_only=False)  # null becomes NaN
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = pc.cast(column.flatten(), pa.float64()).to_numpy(zero_copy_only=False)  # null becomes NaN
     row = np.repeat(np.arange(len(lengths)), lengths)
     bad = np.bincount(row, weights=~np.isfinite(flat), minlength=len(lengths)) > 0
     good = np.flatnonzero((lengths > 0) & ~bad)
