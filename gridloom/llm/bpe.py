@@ -1,9 +1,10 @@
 """Byte-level BPE by forced-boundary splitting, and its inverse.
 
 A pair of bytes that stands inside no token of the vocabulary is a certain cut: no merge crosses it, so what
-lies on either side encodes alone. (non-space, space) is such a pair in byte-level vocabularies, and a space
-after a non-space also begins a pre-token, so a text falls apart at its spaces into fragments that encode
-independently; a fragment is cut again into pre-tokens and at every other forced pair. Ids are kept as bytes
+lies on either side encodes alone. A byte before a space is such a pair but where vocabularies have tokens of
+white space; a space between two characters that are not white also always begins a pre-token, and no merge
+crosses pre-tokens either. So a text falls apart at its single spaces into fragments that encode independently;
+a fragment is cut again into pre-tokens and at every other forced pair. Ids are kept as bytes
 (little-endian 32-bit), so joining fragments is joining bytes. Fragments are remembered up to a fixed number.
 
 Cases: null is an empty text, which has no ids; whole texts of any length; the string of a special token in a
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from functools import cache, partial
 
 import numpy as np
@@ -25,7 +27,10 @@ from pyspark.sql import functions as F
 from .common import batch
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_LOOSE = regex.compile(r"\s | (?=\s)| \Z")  # a space beside white space: not every space begins a fragment
+
+
+class Loose(Exception):
+    """A space stands beside white space: not every space begins a fragment."""
 
 
 def _byte_letters() -> dict[str, int]:
@@ -49,7 +54,7 @@ class _Fragments(dict):
 class ForcedBoundaryBpe:
     """most: fragments remembered."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -59,18 +64,20 @@ class ForcedBoundaryBpe:
         ids = {raw[t]: i for t, i in model["vocab"].items()}
         self.special = {a["content"]: int(a["id"]) for a in spec["added_tokens"]}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        ranks = {bytes([b]): b for b in range(256)}
+        ranks = {bytes([b]): ids.get(bytes([b]), b) for b in range(256)}
         for k, (a, b) in enumerate(merges):
             ranks.setdefault(bytes(letters[c] for c in a + b), 256 + k)
-        self.ids = {r: np.uint32(ids[t]).tobytes() for t, r in ranks.items() if t in ids}
+        if any(ids.get(t) != r for t, r in ranks.items()):
+            raise ValueError("only vocabularies whose ids follow the merges are known here")
         self.merge = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         inside = np.zeros(65536, np.uint8)
         for t in raw.values():
             for a, b in zip(t, t[1:]):
                 inside[a << 8 | b] = 1
         self.forced = (1 - inside).tobytes()
-        white = b" \t\n\x0b\x0c\r"
-        self.space_cuts = all(self.forced[a << 8 | 32] for a in range(256) if a not in white)
+        pre = spec["pre_tokenizer"]
+        if pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space"):
+            raise ValueError("only byte-level pre-tokenizers with their usual pattern are known here")
         size = max([*ids.values(), *self.special.values()]) + 1
         self.bytes_of = [b""] * size
         for t, i in ids.items():
@@ -83,29 +90,44 @@ class ForcedBoundaryBpe:
         self.short = _Fragments(self._piece, most)
 
     def _cut(self, b: bytes) -> list[bytes]:
-        forced, out, start = self.forced, [], 0
-        for i in range(1, len(b)):
-            if forced[b[i - 1] << 8 | b[i]]:
+        forced, out, start, last = self.forced, [], 0, b[0] if b else 0
+        for i, x in enumerate(b):
+            if i and forced[last << 8 | x]:
                 out.append(b[start:i])
                 start = i
+            last = x
         out.append(b[start:])
         return out
 
     def _piece(self, s: str) -> bytes:
         """A pre-token: its forced fragments, each merged alone."""
-        ids, merge = self.ids, self.merge
-        return b"".join(ids[r] for f in self._cut(s.encode()) for r in merge(f))
+        cut = self._cut(s.encode())
+        if len(cut) == 1:
+            return array("I", self.merge(cut[0])).tobytes()
+        return b"".join([array("I", self.merge(f)).tobytes() for f in cut])
 
     def _fragment(self, s: str) -> bytes:
-        return b"".join(map(self._piece, self.pieces(s)))
+        """A space and what follows it up to the next space."""
+        word = s[1:]
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise Loose
+        if word.isalpha():  # letters only: one pre-token
+            return self._piece(s)
+        if word[:-1].isalpha() and word[-1] in ".,":
+            return self.spaced[word[:-1]] + self.short[word[-1]]
+        return b"".join(map(self.short.__getitem__, self.pieces(s)))
 
     def _plain(self, s: str) -> bytes:
         if not s:
             return b""
-        if not self.space_cuts or _LOOSE.search(s):
-            return b"".join(map(self.short.__getitem__, self.pieces(s)))
         head, *rest = s.split(" ")
-        return self._fragment(head) + b"".join(map(self.spaced.__getitem__, rest))
+        pieces, short = self.pieces, self.short.__getitem__
+        if not rest or not head[-1:].isspace():
+            try:
+                return b"".join(map(short, pieces(head))) + b"".join(map(self.spaced.__getitem__, rest))
+            except Loose:
+                pass
+        return b"".join(map(short, pieces(s)))
 
     def encode(self, s: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
