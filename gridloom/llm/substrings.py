@@ -221,9 +221,7 @@ def _windows(batches, window):
 
     flags has a byte for each window of an anchor: 0 to compare, 1 known already but to compare, 2 without digest."""
     cache, unpack = WordHashes(), zstandard.ZstdDecompressor()
-    for b in batches:
-        if not b.num_rows:
-            continue
+    for b in _blocks(batches, most=2_000_000):
         docs = [unpack.decompress(x) for x in b.column(1).to_pylist()]
         w = Words(docs, cache)
         start, anchor = anchors(w.names, w.first, w.last, window)
