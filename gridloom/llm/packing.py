@@ -5,7 +5,8 @@ sequence is filled greedily: of the pieces that fit under all three limits the o
 of its demand and what is left in the sequence (both as shares of the limits) goes in. Where nothing fits and
 examples may be cut, the largest is cut to fill what is left. Tasks pack alone: no shuffle, no open sequence is
 shared, and a task holds a pool of POOL pieces. One sequence of a task at most ends unfilled for want of
-pieces; others only where the limits on segments or loss leave nothing that fits.
+pieces; others only where the limits on segments or loss leave nothing that fits. Where examples may be cut, the
+last tokens of a task become sequences whose lengths are powers of two, which need no padding.
 
 Cases: null is an empty text and has only the end id; texts longer than a sequence are cut; repeated rows are
 packed each; an empty table gives an empty result; other columns are not read. A sequence is named by its task
@@ -38,17 +39,28 @@ class Packer:
         self.demand = np.zeros((POOL, 3))  # what the pool's pieces need
         self.keys: list[tuple | None] = [None] * POOL  # (key, start, length, loss)
         self.n, self.sequence = 0, 0
-        self.left = self.limits.copy()
+        self.left, self.room = self.limits.copy(), limits[0]  # room: tokens that the open sequence is to hold
 
     def _place(self, key, start, length, loss):
-        offset = int(self.tokens - self.left[0])
+        offset = int(self.room - self.left[0])
         self.left -= (length, 1, loss)
         return key, start, length, self.sequence, offset
 
     def _close(self):
-        if self.left[0] < self.tokens:
+        if self.left[0] < self.room:
             self.sequence += 1
-            self.left = self.limits.copy()
+            self.left, self.room = self.limits.copy(), self.tokens
+
+    def _shorten(self):
+        """Where the pool no longer fills the open sequence, let it end at the largest power of two that is filled."""
+        used = self.room - int(self.left[0])
+        reach = used + int(self.demand[: self.n, 0].sum())
+        room = 1 << (reach.bit_length() - 1)
+        if self.room == self.tokens and used <= room and reach < self.tokens:
+            self.left[0], self.room = room - used, room
+            if used == room:
+                self.sequence += 1
+                self.left, self.room = self.limits.copy(), self.tokens
 
     def put(self, key, tokens: int, loss: int | None = None):
         """loss: loss-bearing tokens, at the end of the example; None: all."""
@@ -77,6 +89,8 @@ class Packer:
 
     def _drain(self, most: int):
         while self.n > most:
+            if self.cut and most == 0:
+                self._shorten()
             d = self.demand[: self.n]
             score = np.where((d <= self.left).all(1), d @ (self.left / self.limits**2), -1)
             i = int(score.argmax())
