@@ -71,11 +71,12 @@ def filter_captures(captures: DataFrame, events: DataFrame) -> DataFrame:
     if lists.limit(BROADCAST + 1).count() <= BROADCAST:
         lists = F.broadcast(lists)
     rows = captures.select("page_id", "url", F.col("fetched_at").cast("timestamp").alias("fetched_at"), host_of(F.col("url")).alias("host"))
-    rows = rows.withColumn("row", F.xxhash64("page_id", "url", "fetched_at"))
-    probes = rows.where("host is not null").select("page_id", "row", "fetched_at", F.explode(suffixes(F.col("host"))).alias("pattern")).distinct()
+    named = ["page_id", "url", "fetched_at"]
+    rows = rows.withColumns({"row": F.xxhash64(*named), "row2": F.xxhash64(F.lit(11), *named)})  # together 128 bits
+    probes = rows.where("host is not null").select("row", "row2", "fetched_at", F.explode(suffixes(F.col("host"))).alias("pattern")).distinct()
     hits = probes.join(lists, "pattern").where("valid_from <= fetched_at and (valid_to is null or fetched_at < valid_to)")
-    best = hits.groupBy("row").agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern")).alias("m")).select("row", F.col("m.pattern").alias("matched"))
-    return rows.join(best, "row", "left").select("page_id", "url", "fetched_at", "host", F.col("matched").isNotNull().alias("blocked"), "matched")
+    best = hits.groupBy("row", "row2").agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern")).alias("m")).select("row", "row2", F.col("m.pattern").alias("matched"))
+    return rows.join(best, ["row", "row2"], "left").select("page_id", "url", "fetched_at", "host", F.col("matched").isNotNull().alias("blocked"), "matched")
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
