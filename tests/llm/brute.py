@@ -53,6 +53,15 @@ def groups(ids, prints, radius=4):
     return [least[find(i)] for i in range(len(f))]
 
 
+def shingles(text, words):
+    w = WORD.findall(lower(text or ""))
+    return {" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
 def repeats(rows, window=35):
     split = [WORD.findall(t or "") for t in rows]
     seen = Counter(tuple(w[i : i + window]) for w in split for i in range(len(w) - window + 1))
@@ -114,7 +123,7 @@ def bpe(rows):
 
 
 def check_packing(rows, pieces, limit=1024):
-    """Asserts that pieces (doc_id, start, length, crc, doc_tokens, sequence_id, offset) tile documents and sequences; returns the share of padding."""
+    """Asserts that pieces (doc_id, start, length, crc, doc_tokens, sequence_id, offset) tile documents and sequences; returns the share of padding (to the limit, but none at a power of two)."""
     t = tokenizer()
     want = Counter()
     for d, text in rows:
@@ -133,7 +142,7 @@ def check_packing(rows, pieces, limit=1024):
                 assert crc == zlib.crc32(ids[4 * start : 4 * (start + length)])
                 spots.update(range(start, start + length))
             assert spots == Counter({i: k for i in range(n)})
-    used = 0
+    used = size = 0
     for spans in by_seq.values():
         spans.sort()
         at = 0
@@ -142,7 +151,8 @@ def check_packing(rows, pieces, limit=1024):
             at += length
         assert at <= limit
         used += at
-    return 1 - used / (limit * len(by_seq)) if by_seq else 0.0
+        size += at if at & (at - 1) == 0 else limit
+    return 1 - used / size if by_seq else 0.0
 
 
 def top(vectors, every=50, k=5):
