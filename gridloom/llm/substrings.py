@@ -45,7 +45,7 @@ _M64 = (1 << 64) - 1
 class WordHashes(dict):
     """Hashes of words, kept for as many as MOST."""
 
-    MOST = 400_000
+    MOST = 200_000
 
     def __missing__(self, w: bytes) -> int:
         if len(self) >= self.MOST:
@@ -146,7 +146,7 @@ def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def _blocks(batches, most: int = 8_000_000):
+def _blocks(batches, most: int = 2_000_000):
     """Batches of at most so many bytes of text, but one row at least."""
     for b in batches:
         size, start = 0, 0
@@ -221,7 +221,7 @@ def _windows(batches, window):
 
     flags has a byte for each window of an anchor: 0 to compare, 1 known already but to compare, 2 without digest."""
     cache, unpack = WordHashes(), zstandard.ZstdDecompressor()
-    for b in _blocks(batches, most=2_000_000):
+    for b in _blocks(batches):
         docs = [unpack.decompress(x) for x in b.column(1).to_pylist()]
         w = Words(docs, cache)
         start, anchor = anchors(w.names, w.first, w.last, window)
@@ -312,7 +312,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35, id_co
 
     A word goes when a window of so many consecutive words covers it whose sequence also starts anywhere else."""
     work = Scratch(spark, "substrings")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a partition is held whole in arrays
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     read = work.write(docs.mapInArrow(partial(_read, window=window), _READ_DDL), "read")
     spots = read.where("pos is not null")
