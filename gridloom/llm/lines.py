@@ -34,7 +34,8 @@ def keep_bitmaps(spark: SparkSession, docs: DataFrame, work: Scratch, min_chars:
     lines = lines.repartitionByRange(parts, "h", "g", "doc_id", "pos").sortWithinPartitions("h", "g", "doc_id", "pos")
     lines = work.write(lines, "lines")
     seen = lines.select("h", "g", "doc_id").distinct().groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
-    common = seen.where(F.col("n") >= min_docs).select("h", "g", "keeper")
+    # written, so that the join's sides are plain exchanges, of which Spark splits the partition of a hot line
+    common = work.write(seen.where(F.col("n") >= min_docs).select("h", "g", "keeper"), "common")
     gone = lines.join(common, ["h", "g"]).where("doc_id <> keeper").select("doc_id", "row_key", "pos")
     word = F.expr("pos div 64").cast("int").alias("word")
     bits = gone.groupBy("doc_id", "row_key", word).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
@@ -47,6 +48,7 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 20,
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     maps = work.write(keep_bitmaps(spark, docs, work, min_chars, min_docs), "bitmaps")
     work.drop("lines")
+    work.drop("common")
     release(spark)
     rows = docs.select("doc_id", _row_key().alias("row_key"), "text").join(maps, ["doc_id", "row_key"], "left")
     rows = rows.withColumn("lines", F.split("text", "\n", -1))
