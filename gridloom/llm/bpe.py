@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch
+from .common import batch, tidy
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -41,20 +41,30 @@ def _byte_letters() -> dict[str, int]:
 
 
 class _Fragments(dict):
+    """Ids of fragments: at most so many lately used, and as many of those used before; none beyond LONGEST letters."""
+
+    LONGEST = 64
+
     def __init__(self, encode, most: int):
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.before = encode, most, {}
 
     def __missing__(self, s):
+        if len(s) > self.LONGEST:
+            return self.encode(s)
+        ids = self.before.get(s)
+        if ids is None:
+            ids = self.encode(s)
         if len(self) >= self.most:
+            self.before = dict(self)
             self.clear()
-        self[s] = ids = self.encode(s)
+        self[s] = ids
         return ids
 
 
 class ForcedBoundaryBpe:
     """most: fragments remembered."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 250_000):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -147,6 +157,7 @@ def load(path: str) -> ForcedBoundaryBpe:
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
+@tidy
 def _encode(batches, path, with_ids):
     bpe = load(path)
     for b in batches:

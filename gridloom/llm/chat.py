@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch
+from .common import batch, tidy
 
 
 @dataclass(frozen=True)
@@ -101,6 +101,7 @@ _OUT = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("loss_st
 _DDL = "conv_id long, formatted string, loss_starts array<long>, loss_ends array<long>, valid boolean, bad_turn long"
 
 
+@tidy
 def _format(batches, template):
     def row(conv, turns):
         parts, starts, ends, at = [], [], [], 0
@@ -138,6 +139,7 @@ def format_conversations(spark: SparkSession, turns: DataFrame, template: Templa
 _READ = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_())])
 
 
+@tidy
 def _read_back(batches, template):
     for b in batches:
         out = []

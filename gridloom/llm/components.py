@@ -11,11 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+@tidy
 def _forest(batches):
     """Keep a spanning forest of each batch of edges: fewer rows, the same components."""
     for b in batches:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, batch, texts
+from .common import SPACES, Scratch, batch, texts, tidy
 
 _DROP = SPACES.encode()
 
@@ -92,6 +92,7 @@ _READ = pa.schema([("task", pa.int64()), ("entry", pa.int64()), ("row", pa.int64
 _READ_DDL = "task long, entry long, row long, doc_id long, digest binary, length long, n long, packed binary"
 
 
+@tidy
 def _index(batches, memtable):
     """A row for each document (digest null) and, at the end, each entry of the task's runs."""
     task, index, row = TaskContext.get().partitionId(), LsmIndex(memtable), 0
@@ -118,6 +119,7 @@ _MERGED = pa.schema([("task", pa.int64()), ("entry", pa.int64()), ("keep_id", pa
 _MERGED_DDL = "task long, entry long, keep_id long, keep_task long, keep_row long, group_size long, text_sha256 string"
 
 
+@tidy
 def _compact(batches):
     """Entries in order of digest: those of one digest and equal bytes become one group."""
     unpack = zstandard.ZstdDecompressor()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import load
-from .common import batch
+from .common import batch, tidy
 
 #: Pieces among which a task chooses.
 POOL = 256
@@ -122,6 +122,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.i
 _DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+@tidy
 def _pack(batches, path, limits, end, with_ids):
     bpe, packer = load(path), Packer(limits, cut=True)
     base, tail = TaskContext.get().partitionId() << 32, np.uint32(end).tobytes()
@@ -164,6 +165,7 @@ def pack_documents(docs: DataFrame, path: str, tokens: int = 1024, segments: int
 _EXAMPLE = pa.schema([("example_id", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
+@tidy
 def _pack_whole(batches, limits):
     packer, base, ids = Packer(limits, cut=False), TaskContext.get().partitionId() << 32, []
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, remix, texts
+from .common import Scratch, remix, texts, tidy
 from .components import connected_components
 
 #: Members from which on a bucket is dealt again by further bits.
@@ -60,6 +60,7 @@ def fingerprint(h: np.ndarray) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
+@tidy
 def _fingerprints(batches, words, width, schema):
     for b in batches:
         out = []
@@ -159,6 +160,7 @@ def _run_links(f: np.ndarray, table: np.ndarray, radius: int) -> list[tuple[int,
     return found
 
 
+@tidy
 def _links(batches, width, radius, hot, schema):
     """Rows come sorted by key. Out: links (kind 0: a then b), and the rows of hot keys as they are (kind 1: a, and the key)."""
 

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch, mix, release, remix, texts
+from .common import Scratch, batch, mix, release, remix, texts, tidy
 
 #: Caps of the rounds, in words: a round of runs, then rounds of pairs. CONTEXT words at either side settle a
 #: boundary and the names of the symbols that adjoin it.
@@ -159,6 +159,7 @@ def _blocks(batches, most: int = 2_000_000):
             yield b.slice(start)
 
 
+@tidy
 def _read(batches, window):
     """A row for each document (text packed), and one for each anchor; of anchors equal in a block, one is to be compared."""
     cache, pack, rid = WordHashes(), zstandard.ZstdCompressor(3), TaskContext.get().partitionId() << 40
@@ -184,6 +185,7 @@ def _read(batches, window):
 _SPOT = pa.schema([("rid", pa.int64()), ("pos", pa.int32())])
 
 
+@tidy
 def _recurring(batches):
     """Of a partition's rows (h, rid, pos, known): those whose h occurs again or is known to."""
     rows = [b for b in batches if b.num_rows]
@@ -216,6 +218,7 @@ def _runs(mask: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts, ends - starts + 1
 
 
+@tidy
 def _windows(batches, window):
     """For windows at recurring anchors: known repeats as marks (h null), else digests to compare, by anchor.
 
@@ -254,6 +257,7 @@ def _windows(batches, window):
         yield batch(_WIN, rids[doc[own]], pos[own], (end - own).astype(np.int32), h, dig, [raw[i:j] for i, j in zip(own.tolist(), end.tolist(), strict=True)])
 
 
+@tidy
 def _repeats(batches):
     """Of a partition's rows (rid, start, n, h, digests, flags): runs of windows whose digest occurs again or is known to."""
     rows = [b for b in batches if b.num_rows]
@@ -283,6 +287,7 @@ def _repeats(batches):
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
 
+@tidy
 def _cut(batches, window, with_text):
     """doc_id, n_words, sha, packed, marks: the words that stay."""
     unpack = zstandard.ZstdDecompressor()
