@@ -29,6 +29,8 @@ from .components import connected_components
 
 #: Members from which on a bucket is dealt again by further bits.
 HOT = 4096
+#: Members up to which buckets are worked on all at once.
+FEW = 48
 #: Reference fingerprints of the pivot table.
 PIVOTS = 16
 
@@ -160,6 +162,36 @@ def _run_links(f: np.ndarray, table: np.ndarray, radius: int) -> list[tuple[int,
     return found
 
 
+def _few_links(u: np.ndarray, left: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links in buckets of a few members; left: members of the bucket after this one.
+
+    All buckets at once: members are compared with the next, the next but one and so on."""
+    table, found, k = pivot_table(u), [], 1
+    live = np.flatnonzero(left >= 1)
+    while live.size:
+        at = live
+        for j in range(0, PIVOTS, 4):  # a few coordinates discard most pairs
+            at = at[np.abs(table[at, j : j + 4] - table[at + k, j : j + 4]).max(1, initial=0) <= radius]
+        at = at[_distance(u[at], u[at + k]) <= radius]
+        found += zip(at.tolist(), (at + k).tolist(), strict=True)
+        k += 1
+        live = live[left[live] >= k]
+    root: dict[int, int] = {}
+
+    def find(x):
+        while (y := root.get(x, x)) != x:
+            x = y
+        return x
+
+    forest = []
+    for a, b in found:
+        x, y = find(a), find(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            forest.append((a, b))
+    return forest
+
+
 @tidy
 def _links(batches, width, radius, hot, schema):
     """Rows come sorted by key. Out: links (kind 0: a then b), and the rows of hot keys as they are (kind 1: a, and the key)."""
@@ -179,13 +211,13 @@ def _links(batches, width, radius, hot, schema):
         starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
         size = ends - starts
         u = f.view(np.uint64)
-        two = starts[size == 2]
-        if two.size:
-            d = np.abs(pivot_table(u[two]) - pivot_table(u[two + 1])).max(1)
-            two = two[d <= radius]
-            two = two[_distance(u[two], u[two + 1]) <= radius]
-            pairs.append((f[two], f[two + 1]))
-        for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
+        few = np.repeat(size <= FEW, size)
+        at = np.flatnonzero(few)
+        left = np.repeat(ends, size)[at] - at - 1  # stays right among these rows, as buckets stay whole
+        forest = np.array(_few_links(u[at], left, radius), np.int64).reshape(-1, 2)
+        if len(forest):
+            pairs.append((f[at[forest[:, 0]]], f[at[forest[:, 1]]]))
+        for s, e in zip(starts[size > FEW].tolist(), ends[size > FEW].tolist(), strict=True):
             run = u[s:e]
             for x, to in _run_links(run, pivot_table(run), radius):
                 pairs.append((np.repeat(f[s + x][None], len(to), 0), f[s:e][to]))

@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Rows of a block of queries, and of candidates.
 QUERY_BLOCK, ROW_BLOCK = 1024, 8192
 #: Candidates worked on at a time, so that intermediate bitmaps stay in cache.
@@ -70,6 +72,7 @@ def _quantise(column: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray]:
 _BLOCK = pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("values", pa.binary()), ("dims", pa.int32())])
 
 
+@tidy
 def _blocks(batches, scale, size):
     """Rows as blocks of so many quantised vectors."""
     ids, vectors = [], []
@@ -129,6 +132,7 @@ def block_top_k(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarr
 _HIT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
+@tidy
 def _search(batches, k):
     def unpack(ids, values, dims):
         return np.frombuffer(values, np.int64).reshape(-1, dims), np.frombuffer(ids, np.int64)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch
+from .common import Scratch, batch, tidy
 
 #: Labelled documents that a fit sees at most, and entries that it keeps at most.
 MAX_LABELLED, MAX_ENTRIES = 10_000, 20_000
@@ -142,6 +142,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
 _COUNTS = pa.schema([("entry", pa.string()), ("half", pa.int8()), ("y", pa.int8()), ("n", pa.int64())])
 
 
+@tidy
 def _counts(batches):
     """(entry, half, label, documents) of a batch; half halves the labelled documents. An empty entry counts all."""
     for b in batches:
@@ -157,6 +158,7 @@ def _counts(batches):
 _FEATURES = pa.schema([("y", pa.int8()), ("x", pa.list_(pa.float64()))])
 
 
+@tidy
 def _features(batches, grammars):
     for b in batches:
         rows = [(y, grammars[half].features(text or "")) for text, y, half in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)]
@@ -213,6 +215,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: i
 _OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
+@tidy
 def _score(batches, model):
     for b in batches:
         yield batch(_OUT, b.column(0), [model.score(t.as_py() or "") for t in b.column(1)])
@@ -223,6 +226,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(partial(_score, model=model), "doc_id long, score double")
 
 
+@tidy
 def _keep(batches, model, column, limit):
     for b in batches:
         yield b.filter(pa.array([model.score(t.as_py() or "") < limit for t in b.column(column)], pa.bool_()))
