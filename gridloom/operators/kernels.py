@@ -14,6 +14,11 @@ from ..frame import ArrayFrame, flag_dims
 BLOCK_CELLS = 1 << 26
 
 
+def by(df, names: list[str]):
+    """Groups by these columns; one group without any."""
+    return df.groupBy(*names) if names else df.withColumn("whole", F.lit(0)).groupBy("whole")
+
+
 def blockwise(a: ArrayFrame, flags: int, kernel: Callable[[np.ndarray], np.ndarray], sizes: dict[int, int] | None = None) -> ArrayFrame:
     """kernel over the flagged dimensions (in ascending order) for each index of the others; sizes: new sizes of flagged dimensions."""
     own = [k for k in flag_dims(flags) if a.dims[k] > 1 or (sizes or {}).get(k, 1) > 1]
@@ -34,8 +39,7 @@ def blockwise(a: ArrayFrame, flags: int, kernel: Callable[[np.ndarray], np.ndarr
         return pd.DataFrame(cols | {"re": y.real.ravel(), "im": y.imag.ravel()})
 
     schema = ", ".join([*(f"{c} int" for c in [*rest, *out_own]), "re double", "im double"])
-    keys = [F.col(c) for c in rest] or [F.lit(0)]
-    return ArrayFrame.of(a.df.groupBy(*keys).applyInPandas(run, schema), dims)
+    return ArrayFrame.of(by(a.df, rest).applyInPandas(run, schema), dims)
 
 
 def fft(a, flags: int, inverse: bool = False, unitary: bool = False, centred: bool = True):

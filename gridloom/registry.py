@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .frame import bitmask, flag_dims
-from .operators import contract, elementwise, generate, index, kernels, reduce, window
+from .operators import contract, elementwise, generate, index, kernels, models, recon, reduce, window
 
 OPERATORS = {
     "bitmask": bitmask, "bitmask_dims": flag_dims,
@@ -14,6 +14,8 @@ OPERATORS = {
     "fmac": contract.fmac, "matmul": contract.matmul, "conv": contract.conv, "cc": contract.cc, "ccapply": contract.apply_matrix, "whiten": contract.whiten,
     "filter_average": window.moving_average, "filter_median": window.moving_median, "cumsum": window.cumsum, "forward_difference": window.forward_difference, "backward_difference": window.backward_difference, "unwrap": window.unwrap, "bin": window.bin_labels, "bin_reorder": window.reorder, "ssa_gram": window.hankel_gram, "morphop": window.morph, "morphop_open": window.morph_open, "morphop_close": window.morph_close,
     "fft": kernels.fft, "cdf97": kernels.cdf97, "wavelet": kernels.wavelet, "fftrot": kernels.fftrot, "svd": kernels.svd, "nlmeans": kernels.nlmeans, "rof": kernels.rof, "nudft": kernels.nudft, "svthresh": kernels.singular_threshold,
+    "gmm": models.gmm, "gmm_sample": models.gmm_sample, "mandelbrot": models.mandelbrot, "conway": models.conway, "pol2mask": models.pol2mask, "estdims": models.estdims, "trajcor": models.trajcor, "pulse": models.pulse, "bloch": models.bloch, "toraw": models.toraw, "interpolate": models.interpolate, "fakeksp": models.fakeksp, "psf": models.psf, "wavepsf": models.wavepsf, "rmfreq": models.rmfreq, "estscaling": models.estscaling,
+    "pics": recon.pics, "itsense": recon.itsense, "pocsense": recon.pocsense, "denoise": recon.denoise, "tgv": recon.tgv, "lrmatrix": recon.lrmatrix, "caldir": recon.caldir, "ecalib": recon.ecalib, "estvar": recon.estvar, "rovir": recon.rovir, "homodyne": recon.homodyne, "estshift": recon.estshift, "poisson": recon.poisson, "mobafit": recon.mobafit, "epg": recon.epg,
 }
 
 
