@@ -41,30 +41,26 @@ def _byte_letters() -> dict[str, int]:
 
 
 class _Fragments(dict):
-    """Ids of fragments: at most so many lately used, and as many of those used before; none beyond LONGEST letters."""
+    """Ids of at most so many fragments; none beyond LONGEST letters."""
 
     LONGEST = 64
 
     def __init__(self, encode, most: int):
-        self.encode, self.most, self.before = encode, most, {}
+        self.encode, self.most = encode, most
 
     def __missing__(self, s):
-        if len(s) > self.LONGEST:
-            return self.encode(s)
-        ids = self.before.get(s)
-        if ids is None:
-            ids = self.encode(s)
-        if len(self) >= self.most:
-            self.before = dict(self)
-            self.clear()
-        self[s] = ids
+        ids = self.encode(s)
+        if len(s) <= self.LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[s] = ids
         return ids
 
 
 class ForcedBoundaryBpe:
     """most: fragments remembered."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
