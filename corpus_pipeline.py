@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import exact, packing, simhash, substrings, toxicity
+from gridloom.llm.common import Scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -14,6 +15,20 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
 
+def _numbered(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
+    """The documents with an own number (rid) for each row, written out, so that every reading sees the same numbers.
+
+    Decisions are made for rows and joined by rid: doc_ids may be repeated or null."""
+    return Scratch(spark, name).write(_documents(docs).withColumn("rid", F.monotonically_increasing_id()), "rows")
+
+
+def _first_of_each(rows: DataFrame, groups: DataFrame, *order) -> DataFrame:
+    """Of each group (groups: doc_id, which is a rid, and group) the first row in this order, then by doc_id (nulls last) and rid."""
+    keys = rows.select(F.col("rid"), F.struct(*order, F.col("doc_id").isNull(), "doc_id", "rid").alias("o"))
+    first = keys.join(groups.select(F.col("doc_id").alias("rid"), "group"), "rid").groupBy("group").agg(F.min("o").alias("o"))
+    return _documents(rows.join(first.select("o.rid"), "rid", "left_semi"))
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar scores 0.5 or more go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out(F.col("doc_id")))
@@ -23,22 +38,24 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for white space the longest stays, of those the one with the smallest doc_id."""
-    kept = exact.exact_duplicates(spark, docs).where("kept").select("doc_id")
-    return _documents(docs).join(kept, "doc_id", "left_semi")
+    rows = _numbered(spark, docs, "exact-rows")
+    groups = exact.exact_duplicates(spark, rows, id_col="rid").select("doc_id", F.col("keep_id").alias("group"))
+    return _first_of_each(rows, groups, -F.coalesce(F.length("text"), F.lit(0)))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
-    groups = simhash.near_duplicate_groups(spark, docs, words=5, similarity=0.8)
-    return _documents(docs).join(groups.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
+    rows = _numbered(spark, docs, "near-rows")
+    groups = simhash.near_duplicate_groups(spark, rows, words=5, similarity=0.8, id_col="rid").select("doc_id", F.col("component_id").alias("group"))
+    return _first_of_each(rows, groups)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that stand in repeats of 35 words or more go; a document left without words goes."""
-    kept = substrings.remove_repeats(spark, docs, window=35, with_text=True).where("n_words = 0 or n_removed < n_words").select("doc_id", "kept", "n_removed")
-    joined = _documents(docs).join(kept, "doc_id")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return joined.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
+    own = F.struct("doc_id", "lang", "source", "n_chars", F.col("text").isNull().alias("no_text"))
+    cut = substrings.remove_repeats(spark, docs, window=35, with_text=True, carry=own).where("n_words = 0 or n_removed < n_words")
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("row.n_chars")).cast("long").alias("n_chars")
+    return cut.select("row.doc_id", F.when(~F.col("row.no_text"), F.col("kept")).alias("text"), "row.lang", "row.source", n_chars)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +79,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written to the shared folder and read as the next one's input."""
-    from gridloom.llm.common import Scratch
-
     work = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, batch, mix, release, remix, texts, tidy
@@ -159,9 +159,16 @@ def _blocks(batches, most: int = 2_000_000):
             yield b.slice(start)
 
 
+def _with(b: pa.RecordBatch, carried: pa.Array | None) -> pa.RecordBatch:
+    """The batch with a column of what its rows carry, if they carry anything."""
+    return b if carried is None else b.append_column("row", carried)
+
+
 @tidy
 def _read(batches, window):
-    """A row for each document (text packed), and one for each anchor; of anchors equal in a block, one is to be compared."""
+    """A row for each document (text packed), and one for each anchor; of anchors equal in a block, one is to be compared.
+
+    A third column of the input is carried by the rows of documents."""
     cache, pack, rid = WordHashes(), zstandard.ZstdCompressor(3), TaskContext.get().partitionId() << 40
     for b in _blocks(batches):
         docs = texts(b.column(1))
@@ -170,7 +177,8 @@ def _read(batches, window):
         rids = np.arange(rid, rid + n)
         rid += n
         none = [None] * n
-        yield batch(_READ, rids, b.column(0).cast(pa.int64()), w.counts, [_sha(x) for x in w.split], [pack.compress(d) for d in docs], none, none, none)
+        row = b.column(2) if b.num_columns > 2 else None
+        yield _with(batch(_READ, rids, b.column(0).cast(pa.int64()), w.counts, [_sha(x) for x in w.split], [pack.compress(d) for d in docs], none, none, none), row)
         at = np.unique(anchors(w.names, w.first, w.last, window)[1])
         h = Rolling(w.names, _BASE_B)(at - CONTEXT, 2 * CONTEXT).view(np.int64)
         _, spot, back, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
@@ -179,7 +187,8 @@ def _read(batches, window):
         many = count[back] > 1
         # known: its like is in the block. The one to compare carries h, the others need no comparison.
         none = pa.nulls(len(h))
-        yield batch(_READ, rids[w.doc[at]], none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.string()), none.cast(pa.binary()), pa.array(h, mask=~rep), (at - w.first[at]).astype(np.int32), many)
+        anchored = batch(_READ, rids[w.doc[at]], none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.string()), none.cast(pa.binary()), pa.array(h, mask=~rep), (at - w.first[at]).astype(np.int32), many)
+        yield _with(anchored, None if row is None else pa.nulls(len(h), row.type))
 
 
 _SPOT = pa.schema([("rid", pa.int64()), ("pos", pa.int32())])
@@ -289,14 +298,15 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed",
 
 @tidy
 def _cut(batches, window, with_text):
-    """doc_id, n_words, sha, packed, marks: the words that stay."""
+    """doc_id, n_words, sha, packed, marks: the words that stay; where a row is carried, a text that keeps all words as it is."""
     unpack = zstandard.ZstdDecompressor()
     for b in batches:
         removed, shas, kept = [], [], []
         for sha, packed, starts, ns in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
             words = None
             if starts or with_text:
-                words = unpack.decompress(packed).split()
+                text = unpack.decompress(packed)
+                words = text.split()
             if starts:
                 cover = np.zeros(len(words) + 1, np.int64)
                 np.add.at(cover, np.array(starts), 1)
@@ -308,22 +318,25 @@ def _cut(batches, window, with_text):
             else:
                 removed.append(0)
                 shas.append(sha)
-            kept.append(b" ".join(words).decode() if with_text else None)
-        yield batch(_OUT, b.column(0), b.column(1), removed, shas, kept)
+            as_is = b.num_columns > 6 and not removed[-1]
+            kept.append((text if as_is else b" ".join(words)).decode() if with_text else None)
+        yield _with(batch(_OUT, b.column(0), b.column(1), removed, shas, kept), b.column(6) if b.num_columns > 6 else None)
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: Column | None = None) -> DataFrame:
     """A row for each row of docs: doc_id, n_words, n_removed, kept_sha256, kept (the words that stay, joined by a space).
 
-    A word goes when a window of so many consecutive words covers it whose sequence also starts anywhere else."""
+    A word goes when a window of so many consecutive words covers it whose sequence also starts anywhere else.
+    carry, a column of docs, comes with each row as `row`; a text that keeps all words is then kept as it is."""
     work = Scratch(spark, "substrings")
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a partition is held whole in arrays
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    read = work.write(docs.mapInArrow(partial(_read, window=window), _READ_DDL), "read")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([] if carry is None else [carry.alias("row")]))
+    own, own_ddl = docs.columns[2:], "" if carry is None else f", row {docs.schema['row'].dataType.simpleString()}"
+    read = work.write(docs.mapInArrow(partial(_read, window=window), _READ_DDL + own_ddl), "read")
     spots = read.where("pos is not null")
     compared = spots.where("h is not null").select("h", "rid", "pos", "known").repartition(parts, "h").mapInArrow(_recurring, "rid long, pos int")
     places = spots.where("h is null").select("rid", "pos").union(compared).groupBy("rid").agg(F.collect_list("pos").alias("places"))
-    rows = read.where("packed is not null").select("rid", "doc_id", "n_words", "sha", "packed")
+    rows = read.where("packed is not null").select("rid", "doc_id", "n_words", "sha", "packed", *own)
     rows = work.write(rows.join(places, "rid", "left"), "rows")
     work.drop("read")
     release(spark)
@@ -335,9 +348,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35, id_co
     marks = work.write(marks, "marks")
     work.drop("windows")
     release(spark)
-    touched = rows.where("places is not null").join(marks, "rid", "left").select("doc_id", "n_words", "sha", "packed", "starts", "ns")
-    plain = rows.where("places is null").select("doc_id", "n_words", "sha", "packed", F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<int>").alias("ns"))
-    return touched.union(plain).mapInArrow(partial(_cut, window=window, with_text=with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    touched = rows.where("places is not null").join(marks, "rid", "left").select("doc_id", "n_words", "sha", "packed", "starts", "ns", *own)
+    plain = rows.where("places is null").select("doc_id", "n_words", "sha", "packed", F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<int>").alias("ns"), *own)
+    return touched.union(plain).mapInArrow(partial(_cut, window=window, with_text=with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string" + own_ddl)
 
 
 def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

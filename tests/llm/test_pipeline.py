@@ -31,3 +31,23 @@ def test_run_gives_the_same_rows(spark):
     d = "/root/testdata/sf0.001"
     out = corpus_pipeline.run(spark, d)
     assert out.agg({"length": "sum"}).first()[0] > 0 and "ids" in out.columns
+
+
+def test_rows_with_repeated_and_null_ids(spark):
+    long = " ".join(f"v{i}" for i in range(60))
+    other = " ".join(f"u{i}" for i in range(60))
+    rows = [(1, long), (1, long), (2, "few words"), (2, "few words"), (3, other), (3, "another text of id 3"), (None, "without id"), (None, "without id"), (None, "also without id"), (4, other + "\n"), (5, None), (5, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = sorted([(1, long), (2, "few words"), (4, other + "\n"), (3, "another text of id 3"), (None, "without id"), (None, "also without id"), (5, None)], key=str)
+    work = Scratch(spark, "test")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        docs = work.write(stage(spark, docs, ""), name.replace(" ", "-"))
+        assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == want, name
+
+
+def test_near_stage_keeps_one_row_of_one_id(spark):
+    text = " ".join(f"v{i}" for i in range(200))
+    rows = [(7, text), (7, text), (7, text + " end"), (None, text), (None, "x " + text), (9, "nothing alike")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_stage(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in got) == [7, 9]
