@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import exact, packing, simhash, substrings, toxicity
-from gridloom.llm.common import Scratch
+from gridloom.llm.common import Scratch, release
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -15,18 +15,23 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
 
-def _numbered(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
+def _numbered(spark: SparkSession, docs: DataFrame, work: Scratch) -> DataFrame:
     """The documents with an own number (rid) for each row, written out, so that every reading sees the same numbers.
 
     Decisions are made for rows and joined by rid: doc_ids may be repeated or null."""
-    return Scratch(spark, name).write(_documents(docs).withColumn("rid", F.monotonically_increasing_id()), "rows")
+    release(spark)  # shuffles of the stage before
+    return work.write(_documents(docs).withColumn("rid", F.monotonically_increasing_id()), "rows")
 
 
-def _first_of_each(rows: DataFrame, groups: DataFrame, *order) -> DataFrame:
+def _first_of_each(spark: SparkSession, rows: DataFrame, groups: DataFrame, work: Scratch, *order) -> DataFrame:
     """Of each group (groups: doc_id, which is a rid, and group) the first row in this order, then by doc_id (nulls last) and rid."""
     keys = rows.select(F.col("rid"), F.struct(*order, F.col("doc_id").isNull(), "doc_id", "rid").alias("o"))
     first = keys.join(groups.select(F.col("doc_id").alias("rid"), "group"), "rid").groupBy("group").agg(F.min("o").alias("o"))
-    return _documents(rows.join(first.select("o.rid"), "rid", "left_semi"))
+    first = work.write(first.select("o.rid"), "first")
+    for name in ("runs", "index"):
+        work.drop(name)
+    release(spark)
+    return _documents(rows.join(first, "rid", "left_semi"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,20 +43,23 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for white space the longest stays, of those the one with the smallest doc_id."""
-    rows = _numbered(spark, docs, "exact-rows")
-    groups = exact.exact_duplicates(spark, rows, id_col="rid").select("doc_id", F.col("keep_id").alias("group"))
-    return _first_of_each(rows, groups, -F.coalesce(F.length("text"), F.lit(0)))
+    work = Scratch(spark, "exact-stage")
+    rows = _numbered(spark, docs, work)
+    groups = exact.exact_duplicates(spark, rows, id_col="rid", work=work).select("doc_id", F.col("keep_id").alias("group"))
+    return _first_of_each(spark, rows, groups, work, -F.coalesce(F.length("text"), F.lit(0)))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
-    rows = _numbered(spark, docs, "near-rows")
+    work = Scratch(spark, "near-stage")
+    rows = _numbered(spark, docs, work)
     groups = simhash.near_duplicate_groups(spark, rows, words=5, similarity=0.8, id_col="rid").select("doc_id", F.col("component_id").alias("group"))
-    return _first_of_each(rows, groups)
+    return _first_of_each(spark, rows, groups, work)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that stand in repeats of 35 words or more go; a document left without words goes."""
+    release(spark)  # shuffles of the stage before
     own = F.struct("doc_id", "lang", "source", "n_chars", F.col("text").isNull().alias("no_text"))
     cut = substrings.remove_repeats(spark, docs, window=35, with_text=True, carry=own).where("n_words = 0 or n_removed < n_words")
     n_chars = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("row.n_chars")).cast("long").alias("n_chars")

@@ -151,9 +151,11 @@ def _compact(batches):
         yield batch(_MERGED, *zip(*out, strict=True))
 
 
-def exact_duplicates(spark: SparkSession, docs: DataFrame, memtable: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256 (of the text without white space)."""
-    work = Scratch(spark, "exact")
+def exact_duplicates(spark: SparkSession, docs: DataFrame, memtable: int = 20_000, id_col: str = "doc_id", text_col: str = "text", work: Scratch | None = None) -> DataFrame:
+    """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256 (of the text without white space).
+
+    The tables runs and index are written to work, whose owner may drop them when the rows have been read."""
+    work = work or Scratch(spark, "exact")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     read = work.write(docs.mapInArrow(partial(_index, memtable=memtable), _READ_DDL), "runs")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -8,6 +8,10 @@ by the triangle inequality a pair whose largest coordinate difference exceeds r
 verified on the bits. A bucket yields a spanning forest of its links and never the pairs themselves. Buckets
 beyond HOT members are dealt again by further bits before anything is compared in them.
 
+Wide fingerprints only find candidates, of sets of shingles (a repeated shingle counts once) and within a radius
+that few pairs of the similarity exceed. What candidates connect meets in one task, which compares the shingle
+sets themselves: by prefixes of their rarest shingles, that no similar pair lacks a common one of, then exactly.
+
 Cases: null, empty or white text has no shingle and gets fingerprint zero, linked like any other; repeated
 rows are copies; an empty table gives an empty result; other columns of the input are not read."""
 
@@ -21,10 +25,11 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, remix, texts, tidy
+from .common import Scratch, batch, release, remix, texts, tidy
 from .components import connected_components
 
 #: Members from which on a bucket is dealt again by further bits.
@@ -62,6 +67,21 @@ def fingerprint(h: np.ndarray) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
+@tidy
+def _set_fingerprints(batches, words, width, schema):
+    """A row for each document: its number, doc_id, 128 bits that name its set of shingles, the set's fingerprint, and the text."""
+    rid = TaskContext.get().partitionId() << 40
+    for b in batches:
+        out = []
+        for t in texts(b.column(1)):
+            h = np.unique(shingle_hashes(t, words))
+            raw = h.tobytes()
+            out.append([xxhash.xxh64_intdigest(raw, 1), xxhash.xxh64_intdigest(raw, 2), *(fingerprint(h if k == 0 else remix(h, k)) for k in range(width))])
+        f = np.array(out, np.uint64).reshape(-1, 2 + width).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + b.num_rows)), b.column(0).cast(pa.int64()), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(2 + width)), b.column(1).cast(pa.string())], schema=schema)
+        rid += b.num_rows
+
+
 @tidy
 def _fingerprints(batches, words, width, schema):
     for b in batches:
@@ -95,18 +115,39 @@ def exact_masks(n: int, radius: int) -> list[int]:
     return block_masks(64, m, m - radius)
 
 
-def band_masks(n: int, width: int, similarity: float, recall: float = 0.95) -> list[int]:
-    """Random choices of bits of a wide fingerprint: enough of them that a pair of that similarity meets with this probability."""
-    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+def differ(similarity: float) -> float:
+    """The share of bits in which fingerprints of large sets of that Jaccard similarity differ on average."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def differ_most(similarity: float) -> float:
+    """The same for the sets, small ones included, of at least that similarity of which most bits differ."""
+
+    def majority(common: int, more: int) -> float:  # a set and the same with more elements
+        n = common + more
+        return sum(math.comb(common, c) * math.comb(more, m) for c in range(common + 1) for m in range(more + 1) if (2 * c > common) != (2 * (c + m) > n)) / 2**n
+
+    small = [majority(i, a) for i in range(1, 33) for a in range(1, i + 1) if i / (i + a) >= similarity]
+    return max([differ(similarity), *small])
+
+
+def band_masks(n: int, width: int, similarity: float, recall: float = 0.99) -> list[int]:
+    """Random choices of bits of a wide fingerprint: enough of them that a pair of that similarity meets with this probability, over all distances it may have."""
     bits = max(16, math.ceil(math.log2(max(n, 2))) - 2)
-    count = math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
+    total, p = 64 * width, differ(similarity)
+    share = [math.comb(total, d) * p**d * (1 - p) ** (total - d) for d in range(total + 1)]
+    meet = [(1 - d / total) ** bits for d in range(total + 1)]
+    count = 1
+    while sum(s * (1 - m) ** count for s, m in zip(share, meet, strict=True)) > 1 - recall:
+        count += 1
     rng = random.Random(7)
     return [sum(1 << i for i in rng.sample(range(64 * width), bits)) for _ in range(count)]
 
 
 def radius_for(similarity: float, width: int) -> int:
-    """Bits in which fingerprints of documents of that Jaccard similarity of shingles differ on average."""
-    return math.floor(64 * width * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    """Bits in which fingerprints of sets of that Jaccard similarity differ at most, but for about one pair in a thousand: mean and three standard deviations."""
+    n, p = 64 * width, differ_most(similarity)
+    return min(n, math.ceil(n * p + 3 * math.sqrt(n * p * (1 - p))))
 
 
 def _signed(x: int) -> int:
@@ -274,28 +315,134 @@ def link_fingerprints(spark: SparkSession, distinct: DataFrame, masks: list[int]
     return first.where("kind = 0").select(*cols).union(again.where("kind = 0").select(*cols))
 
 
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of these spans, one after the other."""
+    before = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(start - before, size)
+
+
+def similar_groups(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set of distinct hashes, the first set that links of at least this Jaccard similarity reach from it; no link is lost."""
+    m = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    names, ids, often = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(names), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(names))  # rare ones first
+    begin = np.cumsum(size) - size
+    owner = np.repeat(np.arange(m), size)
+    ids = rank[ids]
+    ids = ids[np.lexsort((ids, owner))]
+    prefix = np.minimum(size, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1)
+
+    def index(of):
+        """Members of the prefixes of these sets, in order, and whose they are."""
+        at = _spans(begin[of], prefix[of])
+        order = np.argsort(ids[at], kind="stable")
+        return ids[at][order], owner[at][order]
+
+    root, free, n_free = np.arange(m), np.ones(m, bool), m
+    keys, whose = index(np.arange(m))
+    built, mark = m, np.zeros(len(names), bool)
+    for first in range(m):
+        if not free[first]:
+            continue
+        free[first], n_free, stack = False, n_free - 1, [first]
+        while stack and n_free:
+            if 2 * n_free <= built:  # sets that are linked need no finding
+                keys, whose = index(np.flatnonzero(free))
+                built = n_free
+            x = stack.pop()
+            own = ids[begin[x] : begin[x] + size[x]]
+            lo, hi = (np.searchsorted(keys, own[: prefix[x]], side) for side in ("left", "right"))
+            c = whose[_spans(lo, hi - lo)]
+            c = np.unique(c[free[c]])
+            c = c[np.minimum(size[c], size[x]) / np.maximum(size[c], size[x]) >= similarity]
+            if not len(c):
+                continue
+            mark[own] = True
+            both = np.add.reduceat(mark[ids[_spans(begin[c], size[c])]].astype(np.int64), np.cumsum(size[c]) - size[c])
+            mark[own] = False
+            c = c[both / (size[c] + size[x] - both) >= similarity]
+            root[c], free[c] = first, False
+            n_free -= len(c)
+            stack.extend(c.tolist())
+    return root
+
+
+_ROOTS = pa.schema([("rep", pa.int64()), ("root", pa.int64())])
+
+
+@tidy
+def _verify(batches, words, similarity):
+    """Rows (candidate group, number, text) come sorted by group. Out: the number of each and of the first one that it is similar to."""
+
+    def roots():
+        return batch(_ROOTS, rids, np.array(rids)[similar_groups(sets, similarity)])
+
+    now, rids, sets = None, [], []
+    for b in batches:
+        for group, rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), strict=True):
+            if group != now and rids:
+                yield roots()
+                rids, sets = [], []
+            now = group
+            rids.append(rid)
+            sets.append(np.unique(shingle_hashes(text, words)))
+    if rids:
+        yield roots()
+
+
+def _similar(spark: SparkSession, docs: DataFrame, words: int, similarity: float, width: int, work: Scratch) -> DataFrame:
+    """near_duplicate_groups by the similarity of shingle sets; docs: doc_id, text."""
+    f = [f"f{k}" for k in range(width)]
+    longs = ["rid", "doc_id", "s0", "s1", *f]
+    schema = pa.schema([*((c, pa.int64()) for c in longs), ("text", pa.string())])
+    ddl = ", ".join(f"{c} long" for c in longs) + ", text string"
+    rows = work.write(docs.mapInArrow(partial(_set_fingerprints, words=words, width=width, schema=schema), ddl), "fingerprints")
+    sets = work.write(rows.groupBy("s0", "s1", *f).agg(F.min("doc_id").alias("id"), F.min("rid").alias("rep")), "sets")
+    distinct = work.write(sets.groupBy(*f).agg(F.min("rep").alias("least")), "distinct")
+    n = distinct.count()
+    links = link_fingerprints(spark, distinct, band_masks(n, width, similarity), band_masks(64 * n, width, similarity), radius_for(similarity, width), width, work)
+    near = connected_components(spark, _edges(links, distinct, width), work).withColumnRenamed("v", "least")
+    release(spark)
+    groups = work.write(sets.join(distinct.join(near, "least", "left"), f).select("rep", F.coalesce("root", "least").alias("candidates")), "candidates")
+    several = groups.groupBy("candidates").count().where("count > 1").select("candidates")
+    members = groups.join(several, "candidates", "left_semi").select("candidates", F.col("rep").alias("rid"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    members = rows.select("rid", "text").join(members, "rid").select("candidates", "rid", "text").repartition(parts, "candidates").sortWithinPartitions("candidates", "rid")
+    roots = work.write(members.mapInArrow(partial(_verify, words=words, similarity=similarity), "rep long, root long"), "verified")
+    named = work.write(sets.join(roots, "rep", "left").select("s0", "s1", "id", F.coalesce("root", "rep").alias("root")), "named")
+    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    named = named.join(least, "root").select("s0", "s1", "component_id")
+    out = rows.select("doc_id", "s0", "s1", *f).join(named, ["s0", "s1"]).select("doc_id", *f, "component_id")
+    done = Scratch(spark, "simhash-groups").write(out, "groups")
+    work.drop()  # with the texts
+    release(spark)
+    return done
+
+
+def _edges(links: DataFrame, distinct: DataFrame, width: int) -> DataFrame:
+    """Links by the names of their fingerprints: each is named by the smallest document that has it."""
+    name = {s: distinct.select(*(F.col(f"f{k}").alias(f"{s}{k}") for k in range(width)), F.col("least").alias(s)) for s in "ab"}
+    return links.distinct().join(name["a"], [f"a{k}" for k in range(width)]).join(name["b"], [f"b{k}" for k in range(width)]).select("a", "b")
+
+
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, words: int = 5, radius: int | None = None, similarity: float = 0.8, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, f0.., component_id) for every row: component_id is the smallest doc_id that links reach.
 
-    With a radius: one 64-bit word, and every link of at most so many bits. Without: wide fingerprints whose
-    agreement estimates the Jaccard similarity of word shingles, linked from `similarity` on."""
+    With a radius: one 64-bit word, and every link of at most so many bits. Without: links are pairs whose sets of
+    word shingles have a Jaccard similarity of `similarity` or more, found by wide fingerprints of the sets."""
     work = Scratch(spark, "simhash")
-    width = 1 if radius is not None else width
-    cols = [f"f{k}" for k in range(width)]
-    fps = work.write(fingerprints(docs, words, width, id_col, text_col), "fingerprints")
-    distinct = work.write(fps.groupBy(*cols).agg(F.min("doc_id").alias("least")), "distinct")
-    n = distinct.count()
-    if radius is not None:
-        masks, finer = exact_masks(n, radius), block_masks(64, radius + 4, 4)
-    else:
-        masks, finer, radius = band_masks(n, width, similarity), band_masks(64 * n, width, similarity), radius_for(similarity, width)
-    links = link_fingerprints(spark, distinct, masks, finer, radius, width, work)
-    # each distinct fingerprint is named by the smallest document that has it
-    name = {s: distinct.select(*(F.col(f"f{k}").alias(f"{s}{k}") for k in range(width)), F.col("least").alias(s)) for s in "ab"}
-    edges = links.distinct().join(name["a"], [f"a{k}" for k in range(width)]).join(name["b"], [f"b{k}" for k in range(width)]).select("a", "b")
-    roots = connected_components(spark, edges, work)
-    named = distinct.join(roots.withColumnRenamed("v", "least"), "least", "left").select(*cols, F.coalesce("root", "least").alias("component_id"))
-    return fps.join(named, cols).select("doc_id", *cols, "component_id")
+    if radius is None:
+        docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        return _similar(spark, docs, words, similarity, width, work)
+    fps = work.write(fingerprints(docs, words, 1, id_col, text_col), "fingerprints")
+    distinct = work.write(fps.groupBy("f0").agg(F.min("doc_id").alias("least")), "distinct")
+    masks, finer = exact_masks(distinct.count(), radius), block_masks(64, radius + 4, 4)
+    links = link_fingerprints(spark, distinct, masks, finer, radius, 1, work)
+    roots = connected_components(spark, _edges(links, distinct, 1), work)
+    named = distinct.join(roots.withColumnRenamed("v", "least"), "least", "left").select("f0", F.coalesce("root", "least").alias("component_id"))
+    return fps.join(named, ["f0"]).select("doc_id", "f0", "component_id")
 
 
 def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

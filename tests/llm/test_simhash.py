@@ -72,3 +72,57 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicate_groups(spark, df, words=4, radius=4).collect() == []
     assert simhash.near_duplicate_groups(spark, df).collect() == []
+
+
+def set_groups(sets, similarity):
+    """The first set that links reach, by comparing every pair."""
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if brute.jaccard(a, sets[j]) >= similarity:
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    return root
+
+
+def test_similar_groups_as_by_comparing_every_pair():
+    import numpy as np
+
+    for seed in range(30):
+        rng = random.Random(seed)
+        sets = [set()]
+        for _ in range(12):
+            base = [rng.randrange(400) for _ in range(rng.randint(1, 40))]
+            for _ in range(rng.randint(1, 6)):
+                sets.append({x if rng.random() > 0.08 else rng.randrange(400) for x in base})
+        rng.shuffle(sets)
+        sets = [set(x) for x in dict.fromkeys(map(frozenset, sets))]
+        got = simhash.similar_groups([np.array(sorted(x), np.uint64) for x in sets], 0.8)
+        assert got.tolist() == set_groups(sets, 0.8)
+
+
+def test_near_pairs_at_the_threshold(spark):
+    """Pairs of a similarity from 0.8 to 0.83 are linked, those from 0.74 to 0.79 are not; of one word that is repeated, one shingle counts."""
+    rng = random.Random(11)
+    rows, want = [], {}
+    for i in range(240):
+        w = [f"a{rng.randrange(10**9)}" for _ in range(rng.choice((24, 104, 404)))]
+        lo, hi = (0.8, 0.83) if i % 2 else (0.74, 0.79)
+        a = brute.shingles(" ".join(w), 5)
+        for k in range(1, len(w)):
+            v = w[:-k] + [f"b{rng.randrange(10**9)}" for _ in range(k)]
+            if lo <= brute.jaccard(a, brute.shingles(" ".join(v), 5)) < hi:
+                break
+        else:
+            continue
+        want[i] = i % 2
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    line = "same " * 3000
+    rows += [(10000 + i, line + " ".join(f"c{rng.randrange(10**9)}" for _ in range(60))) for i in range(2)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(spark, spark.createDataFrame(rows, "doc_id long, text string"), words=5, similarity=0.8).collect()}
+    assert got[10001] == 10001
+    linked = {i: got[2 * i + 1] == 2 * i for i in want}
+    assert not any(linked[i] for i in want if not want[i])
+    near = [linked[i] for i in want if want[i]]
+    assert len(near) > 60 and sum(near) >= 0.97 * len(near)
+    print("recall", sum(near), len(near))
