@@ -1,6 +1,6 @@
 """URL filters as a temporal list join, in DataFrame operations only.
 
-A list is a history: dated entries that add a host suffix or a URL fragment to the list or take it off. Per
+A list is a history: dated entries that add a host suffix to the list or take it off. Per
 entry the next event ends the validity of the one before (lead over its dates), which gives intervals
 [valid_from, valid_to). A capture is evaluated as of its fetch time: its host is broken into its suffixes, which
 are joined by equality with the entries, and the interval must hold the fetch time. The list is broadcast only
@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 
 #: Rows of a list up to which it is broadcast.
 BROADCAST = 50_000
-#: Labels of a host that are compared as suffixes, from its end; a longer host is compared whole too.
-LABELS = 6
 
 #: The list that op10 applies: (pattern, action, date). A pattern is a host suffix.
 EVENTS = [
@@ -58,11 +56,11 @@ def host_of(url):
 
 
 def suffixes(host):
-    """The host and what follows each of its dots, the last LABELS at most, and the whole host."""
+    """The host and what follows each of its dots."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    tails = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(LABELS))), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
-    return F.array_distinct(F.concat(tails, F.array(host)))
+    tails = F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
+    return F.array_distinct(tails)
 
 
 def filter_captures(captures: DataFrame, events: DataFrame) -> DataFrame:

@@ -37,3 +37,10 @@ def test_as_by_replaying_the_list(spark):
 def test_no_python_in_the_plan(spark):
     plan = urls.op10_url_filters(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_entries_of_many_labels_match_deeper_hosts(spark):
+    pages = spark.createDataFrame([(1, "http://w.a.b.c.d.e.x.com/", "2024-02-01"), (2, "http://w.b.c.d.e.x.com/", "2024-02-01")], "page_id long, url string, fetched_at string")
+    events = spark.createDataFrame([("a.b.c.d.e.x.com", "add", "2024-01-01")], "pattern string, action string, at string")
+    got = {r.page_id: r.matched for r in urls.filter_captures(pages, events).collect()}
+    assert got == {1: "a.b.c.d.e.x.com", 2: None}
