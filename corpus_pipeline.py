@@ -1,4 +1,11 @@
-"""From documents to training sequences: five stages, each over all rows that the one before it kept."""
+"""From documents to training sequences: five stages, each over all rows that the one before it kept.
+
+The result of a stage is to be written before the next one begins, as run() does: its tables are then dropped.
+
+Cases: decisions are made for rows, so a row that is repeated whole leaves once, rows with one doc_id and different
+texts are documents of their own, and rows without doc_id count like others (of equals they come last); a null text
+is empty and stays null; texts of any length are read whole; an empty table gives an empty result; columns beyond
+those of documents are not read, and none of these may be missing."""
 
 from __future__ import annotations
 
@@ -10,16 +17,33 @@ from gridloom.llm.common import Scratch, release
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
+#: Tables of the stage before, dropped when the next stage no longer reads them.
+_LEFT: list[Scratch] = []
+
+
+def _begin(spark: SparkSession, docs: DataFrame, name: str) -> Scratch:
+    """A folder for the tables of a stage. Those of the stage before go: its result has been written and is read from there.
+
+    Where docs still read them (a result that was not written), they stay until the process ends."""
+    work = Scratch(spark, name)
+    read = docs.inputFiles() if _LEFT else ()
+    for old in _LEFT[:]:
+        if not any(old.root in f for f in read):
+            old.drop()
+            _LEFT.remove(old)
+    release(spark)  # shuffles of the stage before
+    _LEFT.append(work)
+    return work
+
 
 def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
 
-def _numbered(spark: SparkSession, docs: DataFrame, work: Scratch) -> DataFrame:
+def _numbered(docs: DataFrame, work: Scratch) -> DataFrame:
     """The documents with an own number (rid) for each row, written out, so that every reading sees the same numbers.
 
     Decisions are made for rows and joined by rid: doc_ids may be repeated or null."""
-    release(spark)  # shuffles of the stage before
     return work.write(_documents(docs).withColumn("rid", F.monotonically_increasing_id()), "rows")
 
 
@@ -36,6 +60,7 @@ def _first_of_each(spark: SparkSession, rows: DataFrame, groups: DataFrame, work
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar scores 0.5 or more go."""
+    _begin(spark, docs, "toxicity-stage")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out(F.col("doc_id")))
     model = toxicity.fit(spark, docs, labels)
     return toxicity.keep_clean(_documents(docs), model)
@@ -43,25 +68,25 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for white space the longest stays, of those the one with the smallest doc_id."""
-    work = Scratch(spark, "exact-stage")
-    rows = _numbered(spark, docs, work)
+    work = _begin(spark, docs, "exact-stage")
+    rows = _numbered(docs, work)
     groups = exact.exact_duplicates(spark, rows, id_col="rid", work=work).select("doc_id", F.col("keep_id").alias("group"))
     return _first_of_each(spark, rows, groups, work, -F.coalesce(F.length("text"), F.lit(0)))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
-    work = Scratch(spark, "near-stage")
-    rows = _numbered(spark, docs, work)
-    groups = simhash.near_duplicate_groups(spark, rows, words=5, similarity=0.8, id_col="rid").select("doc_id", F.col("component_id").alias("group"))
+    work = _begin(spark, docs, "near-stage")
+    rows = _numbered(docs, work)
+    groups = simhash.near_duplicate_groups(spark, rows, words=5, similarity=0.8, id_col="rid", numbered=True).select("doc_id", F.col("component_id").alias("group"))
     return _first_of_each(spark, rows, groups, work)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that stand in repeats of 35 words or more go; a document left without words goes."""
-    release(spark)  # shuffles of the stage before
+    work = _begin(spark, docs, "substring-stage")
     own = F.struct("doc_id", "lang", "source", "n_chars", F.col("text").isNull().alias("no_text"))
-    cut = substrings.remove_repeats(spark, docs, window=35, with_text=True, carry=own).where("n_words = 0 or n_removed < n_words")
+    cut = substrings.remove_repeats(spark, docs, window=35, with_text=True, carry=own, work=work).where("n_words = 0 or n_removed < n_words")
     n_chars = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("row.n_chars")).cast("long").alias("n_chars")
     return cut.select("row.doc_id", F.when(~F.col("row.no_text"), F.col("kept")).alias("text"), "row.lang", "row.source", n_chars)
 
@@ -70,6 +95,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Pieces of at most 1024 tokens with their ids, placed in sequences."""
     import public_tokenizers
 
+    _begin(spark, docs, "packing-stage")
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -10,6 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +34,11 @@ def remix(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), a temporary one is set."""
+    """The folder named in spark.checkpoint.dir; where it is unset and Spark runs in one process (tests), a temporary one is set."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", place)
         atexit.register(lambda: __import__("shutil").rmtree(place[7:], ignore_errors=True))
@@ -87,6 +90,53 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def blocks(batches, column: int = 1, most: int = 2_000_000):
+    """Batches of at most so many bytes in this column, but one row at least."""
+    for b in batches:
+        size, start = 0, 0
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        for i in range(b.num_rows):
+            if i > start and ends[i] - size > most:
+                yield b.slice(start, i - start)
+                start, size = i, ends[i - 1]
+        if b.num_rows > start:
+            yield b.slice(start)
+
+
+def whole_groups(batches, keys: int):
+    """Rows that come sorted by their first `keys` columns, as tables in which every group is whole: (table, starts of its groups).
+
+    A table has the groups that a batch completes, so what is held is a batch and one group."""
+    held: list[pa.RecordBatch] = []
+
+    def out(rows):
+        t = pa.Table.from_batches(rows).combine_chunks()
+        if t.num_rows:
+            yield t, np.concatenate([[0], changes(t)])
+
+    def changes(t):
+        new = np.zeros(t.num_rows, bool)
+        for k in range(keys):
+            x = t.column(k).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return np.flatnonzero(new)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        at = changes(b)
+        last = int(at[-1]) if len(at) else 0
+        if held and any(held[-1].column(k)[-1].as_py() != b.column(k)[0].as_py() for k in range(keys)):
+            yield from out([*held, b.slice(0, last)])
+            held = []
+        elif last:
+            yield from out([*held, b.slice(0, last)])
+            held = []
+        held.append(b.slice(last))
+    if held:
+        yield from out(held)
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

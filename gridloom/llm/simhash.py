@@ -6,14 +6,15 @@ all choices of m - r out of m blocks: two fingerprints that differ in at most r
 link is lost. Inside a bucket the pivot table (Hamming distances to fixed reference fingerprints) comes first:
 by the triangle inequality a pair whose largest coordinate difference exceeds r cannot link; what survives is
 verified on the bits. A bucket yields a spanning forest of its links and never the pairs themselves. Buckets
-beyond HOT members are dealt again by further bits before anything is compared in them.
+beyond HOT members are cut into blocks (see grouped), in the same way and without a lost link.
 
 Wide fingerprints only find candidates, of sets of shingles (a repeated shingle counts once) and within a radius
-that few pairs of the similarity exceed. What candidates connect meets in one task, which compares the shingle
-sets themselves: by prefixes of their rarest shingles, that no similar pair lacks a common one of, then exactly.
+that few pairs of the similarity exceed. What candidates connect is compared in blocks, by the shingle sets
+themselves: by prefixes of their rarest shingles, that no similar pair lacks a common one of, then exactly.
 
 Cases: null, empty or white text has no shingle and gets fingerprint zero, linked like any other; repeated
-rows are copies; an empty table gives an empty result; other columns of the input are not read."""
+rows are copies; a null identifier is linked but names no component, unless no row of it has another; an empty
+table gives an empty result; other columns of the input are not read."""
 
 from __future__ import annotations
 
@@ -29,11 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch, release, remix, texts, tidy
+from .common import Scratch, blocks, release, remix, texts, tidy
 from .components import connected_components
+from .grouped import group_links
 
-#: Members from which on a bucket is dealt again by further bits.
-HOT = 4096
+#: Members from which on a bucket is cut into blocks, and members of a block.
+HOT, BLOCK = 4096, 16_384
+#: Shingles of the sets that a task compares at once.
+WEIGHT = 1_000_000
 #: Members up to which buckets are worked on all at once.
 FEW = 48
 #: Reference fingerprints of the pivot table.
@@ -68,23 +72,28 @@ def fingerprint(h: np.ndarray) -> int:
 
 
 @tidy
-def _set_fingerprints(batches, words, width, schema):
-    """A row for each document: its number, doc_id, 128 bits that name its set of shingles, the set's fingerprint, and the text."""
+def _set_fingerprints(batches, words, width, numbered, schema):
+    """A row for each document: its number, doc_id, 128 bits that name its set of shingles, the set's size and fingerprint, and the text.
+
+    numbered: doc_id is the number, and the text is left out."""
     rid = TaskContext.get().partitionId() << 40
-    for b in batches:
+    for b in blocks(batches):
         out = []
         for t in texts(b.column(1)):
             h = np.unique(shingle_hashes(t, words))
             raw = h.tobytes()
-            out.append([xxhash.xxh64_intdigest(raw, 1), xxhash.xxh64_intdigest(raw, 2), *(fingerprint(h if k == 0 else remix(h, k)) for k in range(width))])
-        f = np.array(out, np.uint64).reshape(-1, 2 + width).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + b.num_rows)), b.column(0).cast(pa.int64()), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(2 + width)), b.column(1).cast(pa.string())], schema=schema)
+            out.append([xxhash.xxh64_intdigest(raw, 1), xxhash.xxh64_intdigest(raw, 2), len(h), *(fingerprint(h if k == 0 else remix(h, k)) for k in range(width))])
+        f = np.array(out, np.uint64).reshape(-1, 3 + width).view(np.int64)
+        own = b.column(0).cast(pa.int64())
+        number = own if numbered else pa.array(np.arange(rid, rid + b.num_rows))
+        cols = [number, own, *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(3 + width))]
+        yield pa.RecordBatch.from_arrays(cols if numbered else [*cols, b.column(1).cast(pa.string())], schema=schema)
         rid += b.num_rows
 
 
 @tidy
 def _fingerprints(batches, words, width, schema):
-    for b in batches:
+    for b in blocks(batches):
         out = []
         for t in texts(b.column(1)):
             h = shingle_hashes(t, words)
@@ -295,24 +304,32 @@ def _links(batches, width, radius, hot, schema):
         yield out(pairs, *none)
 
 
-def link_fingerprints(spark: SparkSession, distinct: DataFrame, masks: list[int], finer: list[int], radius: int, width: int, work: Scratch) -> DataFrame:
-    """Links among distinct fingerprints, as (a0.., b0..): enough of them to connect every group.
+def _fingerprint_roots(columns, radius):
+    """For each fingerprint (columns: its words) the first one that links reach from it."""
+    f = np.stack([c.to_numpy() for c in columns], 1).view(np.uint64)
+    root = np.arange(len(f))
+    for x, to in _run_links(f, pivot_table(f), radius):
+        root[to] = root[x]
+    return root
+
 
-    masks deal all fingerprints to buckets, finer masks those that were in a bucket beyond HOT."""
+def link_fingerprints(spark: SparkSession, distinct: DataFrame, masks: list[int], radius: int, width: int, work: Scratch) -> DataFrame:
+    """Links (a, b) among distinct fingerprints (f0.., least), by least: enough of them to connect every group.
+
+    Buckets beyond HOT are cut into blocks, so that no task holds or compares a whole one."""
     schema = pa.schema([("kind", pa.int8()), ("key", pa.int64()), *((f"{s}{k}", pa.int64()) for s in "ab" for k in range(width))])
     ddl = "kind byte, key long, " + ", ".join(f"{s}{k} long" for s in "ab" for k in range(width))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = [f"{s}{k}" for s in "ab" for k in range(width)]
-
-    def linked(rows, hot):
-        rows = rows.repartition(parts, "key").sortWithinPartitions("key", *(f"f{k}" for k in range(width)))
-        return rows.mapInArrow(partial(_links, width=width, radius=radius, hot=hot, schema=schema), ddl)
-
-    first = work.write(linked(_keys(distinct, masks, width), HOT), "links")
-    hot = first.where("kind = 1").select(*(F.col(f"a{k}").alias(f"f{k}") for k in range(width)))
-    # both members of a link in a hot bucket are among these rows, so these alone are dealt again, by more bits
-    again = work.write(linked(_keys(hot.distinct(), finer, width), None), "links-hot")
-    return first.where("kind = 0").select(*cols).union(again.where("kind = 0").select(*cols))
+    f = [f"f{k}" for k in range(width)]
+    rows = _keys(distinct, masks, width).repartition(parts, "key").sortWithinPartitions("key", *f)
+    first = work.write(rows.mapInArrow(partial(_links, width=width, radius=radius, hot=HOT, schema=schema), ddl), "links")
+    edges = _edges(first.where("kind = 0"), distinct, width)
+    hot = first.where("kind = 1").select("key", *(F.col(f"a{k}").alias(f"f{k}") for k in range(width)))
+    if hot.isEmpty():
+        return edges
+    members = work.write(hot.join(distinct, f).select(F.col("key").alias("g"), F.col("least").alias("id"), F.lit(1).cast("long").alias("w")), "hot")
+    named = distinct.select(F.col("least").alias("id"), *f)
+    return edges.union(group_links(spark, members, lambda x: x.join(named, "id"), partial(_fingerprint_roots, radius=radius), BLOCK, work, "hot"))
 
 
 def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -369,48 +386,32 @@ def similar_groups(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return root
 
 
-_ROOTS = pa.schema([("rep", pa.int64()), ("root", pa.int64())])
-
-
-@tidy
-def _verify(batches, words, similarity):
-    """Rows (candidate group, number, text) come sorted by group. Out: the number of each and of the first one that it is similar to."""
+def _set_roots(columns, words, similarity):
+    """For each text the first one whose set of shingles links reach from its own."""
+    sets = [np.unique(shingle_hashes(t, words)) for t in texts(columns[0])]
+    return similar_groups(sets, similarity)
 
-    def roots():
-        return batch(_ROOTS, rids, np.array(rids)[similar_groups(sets, similarity)])
 
-    now, rids, sets = None, [], []
-    for b in batches:
-        for group, rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), strict=True):
-            if group != now and rids:
-                yield roots()
-                rids, sets = [], []
-            now = group
-            rids.append(rid)
-            sets.append(np.unique(shingle_hashes(text, words)))
-    if rids:
-        yield roots()
-
-
-def _similar(spark: SparkSession, docs: DataFrame, words: int, similarity: float, width: int, work: Scratch) -> DataFrame:
+def _similar(spark: SparkSession, docs: DataFrame, words: int, similarity: float, width: int, numbered: bool, work: Scratch) -> DataFrame:
     """near_duplicate_groups by the similarity of shingle sets; docs: doc_id, text."""
     f = [f"f{k}" for k in range(width)]
-    longs = ["rid", "doc_id", "s0", "s1", *f]
-    schema = pa.schema([*((c, pa.int64()) for c in longs), ("text", pa.string())])
-    ddl = ", ".join(f"{c} long" for c in longs) + ", text string"
-    rows = work.write(docs.mapInArrow(partial(_set_fingerprints, words=words, width=width, schema=schema), ddl), "fingerprints")
-    sets = work.write(rows.groupBy("s0", "s1", *f).agg(F.min("doc_id").alias("id"), F.min("rid").alias("rep")), "sets")
-    distinct = work.write(sets.groupBy(*f).agg(F.min("rep").alias("least")), "distinct")
+    longs = ["rid", "doc_id", "s0", "s1", "size", *f]
+    schema = pa.schema([*((c, pa.int64()) for c in longs), *([] if numbered else [("text", pa.string())])])
+    ddl = ", ".join(f"{c} long" for c in longs) + ("" if numbered else ", text string")
+    rows = work.write(docs.mapInArrow(partial(_set_fingerprints, words=words, width=width, numbered=numbered, schema=schema), ddl), "fingerprints")
+    whole = docs.select(F.col("doc_id").alias("rid"), "text") if numbered else rows.select("rid", "text")
+    sets = work.write(rows.groupBy("s0", "s1", *f).agg(F.min("doc_id").alias("id"), F.min("rid").alias("rep"), F.max("size").alias("size")), "sets")
+    distinct = work.write(sets.groupBy(*f).agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("k")), "distinct")
     n = distinct.count()
-    links = link_fingerprints(spark, distinct, band_masks(n, width, similarity), band_masks(64 * n, width, similarity), radius_for(similarity, width), width, work)
-    near = connected_components(spark, _edges(links, distinct, width), work).withColumnRenamed("v", "least")
+    links = link_fingerprints(spark, distinct.select(*f, "least"), band_masks(n, width, similarity), radius_for(similarity, width), width, work)
+    near = connected_components(spark, links, work).withColumnRenamed("v", "least")
     release(spark)
-    groups = work.write(sets.join(distinct.join(near, "least", "left"), f).select("rep", F.coalesce("root", "least").alias("candidates")), "candidates")
-    several = groups.groupBy("candidates").count().where("count > 1").select("candidates")
-    members = groups.join(several, "candidates", "left_semi").select("candidates", F.col("rep").alias("rid"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    members = rows.select("rid", "text").join(members, "rid").select("candidates", "rid", "text").repartition(parts, "candidates").sortWithinPartitions("candidates", "rid")
-    roots = work.write(members.mapInArrow(partial(_verify, words=words, similarity=similarity), "rep long, root long"), "verified")
+    # sets that are alone under a fingerprint without link need no comparison
+    some = distinct.join(near, "least", "left").where("root is not null or k > 1").select(*f, F.coalesce("root", "least").alias("g"))
+    members = work.write(sets.join(some, f).select("g", F.col("rep").alias("id"), F.greatest("size", F.lit(1)).alias("w")), "candidates")
+    whole = whole.withColumnRenamed("rid", "id")
+    same = group_links(spark, members, lambda x: x.join(whole, "id"), partial(_set_roots, words=words, similarity=similarity), WEIGHT, work, "sets")
+    roots = connected_components(spark, same, work, "sets-all").withColumnRenamed("v", "rep")
     named = work.write(sets.join(roots, "rep", "left").select("s0", "s1", "id", F.coalesce("root", "rep").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     named = named.join(least, "root").select("s0", "s1", "component_id")
@@ -424,25 +425,32 @@ def _similar(spark: SparkSession, docs: DataFrame, words: int, similarity: float
 def _edges(links: DataFrame, distinct: DataFrame, width: int) -> DataFrame:
     """Links by the names of their fingerprints: each is named by the smallest document that has it."""
     name = {s: distinct.select(*(F.col(f"f{k}").alias(f"{s}{k}") for k in range(width)), F.col("least").alias(s)) for s in "ab"}
-    return links.distinct().join(name["a"], [f"a{k}" for k in range(width)]).join(name["b"], [f"b{k}" for k in range(width)]).select("a", "b")
+    cols = [f"{s}{k}" for s in "ab" for k in range(width)]
+    return links.select(*cols).distinct().join(name["a"], [f"a{k}" for k in range(width)]).join(name["b"], [f"b{k}" for k in range(width)]).select("a", "b")
 
 
-def near_duplicate_groups(spark: SparkSession, docs: DataFrame, words: int = 5, radius: int | None = None, similarity: float = 0.8, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicate_groups(spark: SparkSession, docs: DataFrame, words: int = 5, radius: int | None = None, similarity: float = 0.8, width: int = 4, id_col: str = "doc_id", text_col: str = "text", numbered: bool = False) -> DataFrame:
     """(doc_id, f0.., component_id) for every row: component_id is the smallest doc_id that links reach.
 
     With a radius: one 64-bit word, and every link of at most so many bits. Without: links are pairs whose sets of
-    word shingles have a Jaccard similarity of `similarity` or more, found by wide fingerprints of the sets."""
+    word shingles have a Jaccard similarity of `similarity` or more, found by wide fingerprints of the sets.
+    numbered: identifiers are unique, not null, and the same at every reading of docs, so that texts are not copied."""
     work = Scratch(spark, "simhash")
     if radius is None:
         docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        return _similar(spark, docs, words, similarity, width, work)
+        return _similar(spark, docs, words, similarity, width, numbered, work)
     fps = work.write(fingerprints(docs, words, 1, id_col, text_col), "fingerprints")
-    distinct = work.write(fps.groupBy("f0").agg(F.min("doc_id").alias("least")), "distinct")
-    masks, finer = exact_masks(distinct.count(), radius), block_masks(64, radius + 4, 4)
-    links = link_fingerprints(spark, distinct, masks, finer, radius, 1, work)
-    roots = connected_components(spark, _edges(links, distinct, 1), work)
-    named = distinct.join(roots.withColumnRenamed("v", "least"), "least", "left").select("f0", F.coalesce("root", "least").alias("component_id"))
-    return fps.join(named, ["f0"]).select("doc_id", "f0", "component_id")
+    # fingerprints get numbers of their own, as identifiers may be null
+    distinct = work.write(fps.groupBy("f0").agg(F.min("doc_id").alias("id")).withColumn("least", F.monotonically_increasing_id()), "distinct")
+    links = link_fingerprints(spark, distinct.select("f0", "least"), exact_masks(distinct.count(), radius), radius, 1, work)
+    roots = connected_components(spark, links, work)
+    named = distinct.join(roots.withColumnRenamed("v", "least"), "least", "left").select("f0", "id", F.coalesce("root", "least").alias("root"))
+    named = work.write(named, "named")
+    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    done = Scratch(spark, "simhash-groups").write(named.join(least, "root").select("f0", "component_id"), "groups")
+    for name in ("links", "distinct", "named"):
+        work.drop(name)
+    return fps.join(done, ["f0"]).select("doc_id", "f0", "component_id")
 
 
 def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -323,12 +323,12 @@ def _cut(batches, window, with_text):
         yield _with(batch(_OUT, b.column(0), b.column(1), removed, shas, kept), b.column(6) if b.num_columns > 6 else None)
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: Column | None = None) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: Column | None = None, work: Scratch | None = None) -> DataFrame:
     """A row for each row of docs: doc_id, n_words, n_removed, kept_sha256, kept (the words that stay, joined by a space).
 
     A word goes when a window of so many consecutive words covers it whose sequence also starts anywhere else.
     carry, a column of docs, comes with each row as `row`; a text that keeps all words is then kept as it is."""
-    work = Scratch(spark, "substrings")
+    work = work or Scratch(spark, "substrings")
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a partition is held whole in arrays
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([] if carry is None else [carry.alias("row")]))
     own, own_ddl = docs.columns[2:], "" if carry is None else f", row {docs.schema['row'].dataType.simpleString()}"

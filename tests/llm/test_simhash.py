@@ -2,7 +2,8 @@ import random
 
 import brute
 import pytest
-from gridloom.llm import simhash
+from gridloom.llm import grouped, simhash
+from gridloom.llm.common import Scratch
 
 SCHEMA = "doc_id long, text string, f0 long, component_id string"
 
@@ -23,9 +24,11 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("hot", [simhash.HOT, 3])
-def test_groups_as_by_comparing_every_pair(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "block"), [(simhash.HOT, simhash.BLOCK), (3, 2)])
+def test_groups_as_by_comparing_every_pair(spark, monkeypatch, hot, block):
     monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(grouped, "ANCHORS", 1)
     rows = corpus()
     df = spark.createDataFrame([(d, t, 0, "clash") for d, t in rows], SCHEMA).repartition(5)
     got = sorted((r.doc_id, r.f0 & (2**64 - 1), r.component_id) for r in simhash.near_duplicate_groups(spark, df, words=4, radius=4).collect())
@@ -126,3 +129,29 @@ def test_near_pairs_at_the_threshold(spark):
     near = [linked[i] for i in want if want[i]]
     assert len(near) > 60 and sum(near) >= 0.97 * len(near)
     print("recall", sum(near), len(near))
+
+
+@pytest.mark.parametrize("anchors", [1, 64])
+def test_blocks_lose_no_link(spark, monkeypatch, anchors):
+    """Chains of numbers, cut into blocks of ten: every chain comes out whole, and alone."""
+    monkeypatch.setattr(grouped, "ANCHORS", anchors)
+
+    def near(columns):
+        x = columns[0].to_pylist()
+        root = list(range(len(x)))
+        for i in range(len(x)):
+            for j in range(i):
+                if abs(x[i] - x[j]) <= 3:
+                    a, b = sorted((root[i], root[j]))
+                    root = [a if r == b else r for r in root]
+        import numpy as np
+
+        return np.array(root)
+
+    chains = {0: range(0, 300, 3), 1: range(1000, 1040, 2), 2: range(2000, 2090, 3), 3: range(3000, 3004)}
+    members = [(7, x, 1) for c in (0, 1, 2) for x in chains[c]] + [(8, x, 1) for x in chains[3]] + [(9, 5000, 1)]
+    df = spark.createDataFrame(members, "g long, id long, w long").repartition(3)
+    work = Scratch(spark, "test")
+    links = grouped.group_links(spark, df, lambda x: x.withColumn("x", x.id), near, 10, work, "t")
+    roots = {r.v: r.root for r in grouped.connected_components(spark, links, work, "all").collect()}
+    assert roots == {x: c[0] for c in chains.values() for x in c}
