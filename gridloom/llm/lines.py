@@ -1,16 +1,20 @@
 """Line deduplication in DataFrame operations only.
 
-Lines become hashes of their keys. They are range-partitioned and sorted by hash, document and position (the
-document is part of the range, so a line of a third of all documents is split over tasks), written, and streamed
-once for the first and last document of each hash and the number of documents. What comes back to a document is
-a keep bitmap in words of 64 lines, of which only words with a zero are stored; the text itself is shuffled once,
-to meet its bitmap, and only dropped lines ever leave it.
+Texts are taken apart once: a line becomes the hash of its key, with its document and position, and these are written.
+They are range-partitioned by hash and document and sorted within, the largest document first and lines by position;
+the document is part of the range, so a line of a third of all documents is split over tasks. The sorted rows are
+streamed (an aggregation by sort order, without a further exchange): each document shows a hash once, by its first
+occurrence, and of the documents of a hash the first one, which is the largest, keeps it. Only a count and that first
+document of each hash leave a range, so ranges that share a hash merge a row each. What comes back to a document is a
+keep bitmap in words of 64 lines, of which only words with a zero are stored; the text itself is shuffled once, to
+meet its bitmap, and only dropped lines ever leave it.
 
 A key is two 64-bit hashes with different seeds, so that a clash (2^-128 a pair) does not arise.
 
 Cases: null and empty texts are one empty line; keys shorter than min_chars never drop; a doc_id that occurs in
 several rows counts as one document, and its rows (told apart by their text) share decisions; rows repeated
-whole share them too; an empty table gives an empty result; other columns are not read."""
+whole share them too; a null doc_id is one document, smaller than any other; an empty table gives an empty result;
+other columns are not read."""
 
 from __future__ import annotations
 
@@ -25,20 +29,22 @@ def _row_key():
 
 
 def keep_bitmaps(spark: SparkSession, docs: DataFrame, work: Scratch, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """(doc_id, row_key, words): for rows of docs (doc_id, text) that lose lines, a map from word number to the bits of lines that go."""
+    """(doc_id, row_key, words): for rows of docs (doc_id, text) that lose lines, a map from word number to keep bits, of words with a zero."""
     lines = docs.select("doc_id", _row_key().alias("row_key"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     key = ascii_lower(F.btrim("line", F.lit(SPACES)))
     lines = lines.select("doc_id", "row_key", "pos", key.alias("key")).where(F.length("key") >= min_chars)
-    lines = lines.select(F.xxhash64("key").alias("h"), F.xxhash64(F.lit(11), "key").alias("g"), "doc_id", "row_key", "pos")
+    lines = work.write(lines.select(F.xxhash64("key").alias("h"), F.xxhash64(F.lit(11), "key").alias("g"), "doc_id", "row_key", "pos"), "lines")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lines = lines.repartitionByRange(parts, "h", "g", "doc_id", "pos").sortWithinPartitions("h", "g", "doc_id", "pos")
-    lines = work.write(lines, "lines")
-    seen = lines.select("h", "g", "doc_id").distinct().groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
+    order = ("h", "g", F.desc_nulls_last("doc_id"))
+    ranged = lines.repartitionByRange(parts, *order).sortWithinPartitions(*order, "row_key", "pos")
+    # first() of a struct is aggregated by sort order, which the ranges have
+    seen = ranged.groupBy("h", "g", "doc_id").agg(F.first(F.struct("row_key", "pos")).alias("first"))
+    common = seen.groupBy("h", "g").agg(F.count("first").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
     # written, so that the join's sides are plain exchanges, of which Spark splits the partition of a hot line
-    common = work.write(seen.where(F.col("n") >= min_docs).select("h", "g", "keeper"), "common")
-    gone = lines.join(common, ["h", "g"]).where("doc_id <> keeper").select("doc_id", "row_key", "pos")
+    common = work.write(common.select("h", "g", "keeper"), "common")
+    gone = lines.join(common, ["h", "g"]).where("not (doc_id <=> keeper)").select("doc_id", "row_key", "pos")
     word = F.expr("pos div 64").cast("int").alias("word")
-    bits = gone.groupBy("doc_id", "row_key", word).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
+    bits = gone.groupBy("doc_id", "row_key", word).agg(F.bitwise_not(F.bit_or(F.expr("shiftleft(1L, pos % 64)"))).alias("bits"))
     return bits.groupBy("doc_id", "row_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
 
 
@@ -50,11 +56,13 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 20,
     work.drop("lines")
     work.drop("common")
     release(spark)
-    rows = docs.select("doc_id", _row_key().alias("row_key"), "text").join(maps, ["doc_id", "row_key"], "left")
+    own = docs.select("doc_id", _row_key().alias("row_key"), "text").alias("own")
+    same = F.col("own.doc_id").eqNullSafe(F.col("maps.doc_id")) & (F.col("own.row_key") == F.col("maps.row_key"))
+    rows = own.join(maps.alias("maps"), same, "left").select("own.doc_id", "text", "words")
     rows = rows.withColumn("lines", F.split("text", "\n", -1))
-    gone = "shiftright(coalesce(try_element_at(words, cast(i div 64 as int)), 0L), cast(i % 64 as int)) & 1L"
-    kept = F.expr(f"filter(lines, (x, i) -> ({gone}) = 0L)")
-    dropped = F.aggregate(F.map_values("words"), F.lit(0), lambda a, b: a + F.bit_count(b))
+    stays = "shiftright(coalesce(try_element_at(words, cast(i div 64 as int)), -1L), cast(i % 64 as int)) & 1L"
+    kept = F.expr(f"filter(lines, (x, i) -> ({stays}) = 1L)")
+    dropped = F.aggregate(F.map_values("words"), F.lit(0), lambda a, b: a + F.bit_count(F.bitwise_not(b)))
     whole = F.col("words").isNull()
     return rows.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.when(whole, 0).otherwise(dropped).cast("long").alias("n_dropped"), F.when(whole, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))
 
