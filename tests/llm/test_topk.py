@@ -2,6 +2,7 @@ import random
 
 import brute
 import numpy as np
+import pytest
 from gridloom.llm import topk
 
 
@@ -23,7 +24,21 @@ def test_slices_give_exact_products():
     rng = np.random.default_rng(0)
     for d in (1, 63, 64, 130):
         q, x = rng.integers(-900, 900, (4, d)), rng.integers(-(2**20), 2**20, (50, d))
-        for i, ids, score in topk.block_top_k(q, np.arange(4) - 10, x, np.arange(50), 5):
-            s = x @ q[i + 10]
+        xs = np.ascontiguousarray(topk.slices(x, topk.bits_for(x)).transpose(1, 2, 0))
+        for i, (ids, score) in enumerate(topk.block_top_k(q, np.arange(4) - 10, xs, np.arange(50), 5)):
+            s = x @ q[i]
             want = np.lexsort((np.arange(50), -s))[:5]
             assert ids.tolist() == want.tolist() and score.tolist() == s[want].tolist()
+
+
+def test_repeated_queries_and_large_components(spark):
+    ddl = "vec_id long, embedding array<double>"
+    rows = [(50, [1.0]), (50, [1.0]), (1, [2.0]), (2, [3.0]), (3, [1.0, 9.0])]
+    df = spark.createDataFrame(rows, ddl)
+    got = sorted(tuple(r) for r in topk.top_k(spark, df.where("vec_id % 50 = 0"), df, 2).collect())
+    assert got == [(50, 1, 2, 3 * 65536), (50, 2, 1, 2 * 65536)]
+    two = df.union(spark.createDataFrame([(50, [-1.0])], ddl))
+    got = sorted((tuple(r) for r in topk.top_k(spark, two.where("vec_id % 50 = 0"), two, 1).collect()), key=str)
+    assert got == [(50, 1, 2, 3 * 65536), (50, 1, 3, -65536)]
+    with pytest.raises(Exception, match="31 bits"):
+        topk.top_k(spark, df, spark.createDataFrame([(9, [1e30])], ddl), 1).collect()
