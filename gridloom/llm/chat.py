@@ -1,19 +1,25 @@
 """Chat formatting by a finite-state machine over roles.
 
-A declarative template gives each role what stands before and after its text and whether the text bears loss.
+A declarative template gives each role what stands before and after its text and whether the text bears loss, and
+says which role may follow which. It is compiled to a machine: a transition for every state and role, which names
+the next state, says whether the turn is in order, and emits the turn's segments, each with its loss flag. The
+formatted conversation is what the transitions emit. A turn that is out of order is formatted all the same, so that
+nothing is lost: its transition is marked, goes where the role would have led, and a caller filters on `valid`.
+A conversation that ends on a question is in order, but not `complete`.
+
 Control strings of the template that occur inside a text are broken by a backslash after their first character
-(and backslashes are doubled), so a text can never end a turn or begin one, and reading back restores it. The
-machine walks over the roles of a conversation and names the first turn that is out of order; the conversation
-is formatted all the same, so that nothing is lost, and a caller filters on `valid`.
+(and backslashes are doubled), so a text can never end a turn or begin one, and reading back restores it.
 
-Cases: null text or role is empty; roles without an own entry carry their name in the markup; ties in (conv_id,
-turn) are ordered by role and text, null turns come first; rows repeated whole are turns of their own;
-conversations are streamed one at a time, in order; an empty table gives an empty result; other columns are
-not read."""
+Cases: null text or role is empty; roles without an own entry carry their name in the markup and are out of order;
+ties in (conv_id, turn) are ordered by role and text, null turns come first; rows repeated whole are turns of their
+own; turns with a null conv_id are one conversation; conversations are streamed one at a time, in order, and one is
+held as a whole, as its formatted text is one string; an empty table gives an empty result; other columns are not
+read."""
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from dataclasses import dataclass, field
 from functools import partial
@@ -25,6 +31,15 @@ from pyspark.sql import functions as F
 from .common import batch, tidy
 
 
+@dataclass(frozen=True)
+class Transition:
+    """emits: (what, string, loss), where what is "is" (the string stands as it is), "role" or "text" (of the turn, escaped)."""
+
+    to: str
+    in_order: bool
+    emits: tuple
+
+
 @dataclass(frozen=True)
 class Template:
     """roles: (before, after, loss). moves: state -> role -> state; a conversation may end in `ends`."""
@@ -35,6 +50,32 @@ class Template:
     moves: dict = field(default_factory=lambda: {"start": {"system": "told", "user": "asked"}, "told": {"user": "asked"}, "asked": {"assistant": "answered"}, "answered": {"user": "asked"}})
     ends: frozenset = frozenset({"answered"})
 
+    def machine(self) -> dict[tuple[str, str | None], Transition]:
+        """A transition for each state and role; role None: any that the template does not name."""
+        leads = {role: to for by_role in self.moves.values() for role, to in by_role.items()}
+        states = {"start", *self.moves, *leads.values()}
+        out = {}
+        for state in states:
+            for role, (before, after, loss) in self.roles.items():
+                to = self.moves.get(state, {}).get(role)
+                out[state, role] = Transition(to or leads.get(role, state), to is not None, (("is", before, False), ("text", "", loss), ("is", after, False)))
+            begin, says, end = self.other
+            out[state, None] = Transition(state, False, (("is", begin, False), ("role", "", False), ("is", says, False), ("text", "", False), ("is", end, False)))
+        return out
+
+    def walk(self, turns: list[tuple[str, str]], machine: dict | None = None):
+        """(segments, first turn out of order or None, complete): segments are (text, loss), as the transitions emit them."""
+        machine = machine or self.machine()
+        state, segments, bad = "start", [(self.start, False)], None
+        for i, (role, text) in enumerate(turns):
+            move = machine[state, role if role in self.roles else None]
+            for what, string, loss in move.emits:
+                segments.append((string if what == "is" else self.escape(text if what == "text" else role), loss))
+            if not move.in_order and bad is None:
+                bad = i
+            state = move.to
+        return segments, bad, state in self.ends
+
     @property
     def controls(self) -> list[str]:
         own = {self.start, *self.other, *(s for r in self.roles.values() for s in r[:2])}
@@ -50,29 +91,8 @@ class Template:
     def unescape(text: str) -> str:
         return re.sub(r"\\(\\?)", r"\1", text) if "\\" in text else text
 
-    def segments(self, turns: list[tuple[str, str]]):
-        """(text, loss) pieces of the formatted conversation."""
-        yield self.start, False
-        for role, text in turns:
-            if role in self.roles:
-                before, after, loss = self.roles[role]
-            else:
-                before, after, loss = self.other[0] + self.escape(role) + self.other[1], self.other[2], False
-            yield before, False
-            yield self.escape(text), loss
-            yield after, False
-
-    def check(self, roles: list[str]) -> int | None:
-        """The first turn out of order; the number of turns if the conversation stops too early; None if it is well formed."""
-        state = "start"
-        for i, r in enumerate(roles):
-            state = self.moves.get(state, {}).get(r)
-            if state is None:
-                return i
-        return None if state in self.ends else len(roles)
-
     def read(self, formatted: str) -> list[tuple[str, str]]:
-        """The turns of a formatted conversation: the inverse of segments()."""
+        """The turns of a formatted conversation: the inverse of walk()."""
         by_before = {before: (role, after) for role, (before, after, _) in self.roles.items()}
         openers = "|".join(map(re.escape, sorted([*by_before, self.other[0]], key=len, reverse=True)))
         at, turns = len(self.start), []
@@ -97,22 +117,18 @@ class Template:
 
 DEFAULT = Template()
 
-_OUT = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("loss_starts", pa.list_(pa.int64())), ("loss_ends", pa.list_(pa.int64())), ("valid", pa.bool_()), ("bad_turn", pa.int64())])
-_DDL = "conv_id long, formatted string, loss_starts array<long>, loss_ends array<long>, valid boolean, bad_turn long"
+_OUT = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("segment_ends", pa.list_(pa.int64())), ("segment_loss", pa.list_(pa.bool_())), ("valid", pa.bool_()), ("bad_turn", pa.int64()), ("complete", pa.bool_())])
+_DDL = "conv_id long, formatted string, segment_ends array<long>, segment_loss array<boolean>, valid boolean, bad_turn long, complete boolean"
 
 
 @tidy
 def _format(batches, template):
+    machine = template.machine()
+
     def row(conv, turns):
-        parts, starts, ends, at = [], [], [], 0
-        for text, loss in template.segments(turns):
-            if loss:
-                starts.append(at)
-                ends.append(at + len(text))
-            at += len(text)
-            parts.append(text)
-        bad = template.check([r for r, _ in turns])
-        return conv, "".join(parts), starts, ends, bad is None, bad
+        segments, bad, complete = template.walk(turns, machine)
+        ends = list(itertools.accumulate(len(t) for t, _ in segments))
+        return conv, "".join(t for t, _ in segments), ends, [loss for _, loss in segments], bad is None, bad, complete
 
     conv, turns, begun = None, [], False
     for b in batches:
@@ -130,7 +146,7 @@ def _format(batches, template):
 
 
 def format_conversations(spark: SparkSession, turns: DataFrame, template: Template = DEFAULT) -> DataFrame:
-    """A row for each conv_id of turns (conv_id, turn, role, text): formatted, spans under the loss mask, valid, bad_turn."""
+    """A row for each conv_id of turns (conv_id, turn, role, text): formatted, where its segments end and whether they bear loss, valid, bad_turn, complete."""
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("role"), F.col("text"), F.col("turn").alias("turn"))
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return rows.drop("turn").mapInArrow(partial(_format, template=template), _DDL)
@@ -143,10 +159,10 @@ _READ = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha
 def _read_back(batches, template):
     for b in batches:
         out = []
-        for conv, text, starts, ends, valid, _ in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for conv, text, ends, bears, valid, _, _ in zip(*(c.to_pylist() for c in b.columns), strict=True):
             turns = template.read(text)
             said = "".join(f"{r}\n{t}\n" for r, t in turns)
-            loss = "".join(template.unescape(text[s:e]) for s, e in zip(starts, ends, strict=True))
+            loss = "".join(template.unescape(text[s:e]) for s, e, own in zip([0, *ends], ends, bears, strict=False) if own)
             out.append((conv, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text), valid))
         if out:
             yield batch(_READ, *zip(*out, strict=True))

@@ -11,7 +11,7 @@ def test_reading_back_is_the_inverse():
     text = lambda: "".join(rng.choice(BITS) for _ in range(rng.randint(0, 12)))
     for _ in range(3000):
         turns = [(rng.choice(["user", "assistant", "system", "tool", "", text()]), text()) for _ in range(rng.randint(0, 5))]
-        parts = list(chat.DEFAULT.segments(turns))
+        parts = chat.DEFAULT.walk(turns)[0]
         formatted = "".join(t for t, _ in parts)
         assert chat.DEFAULT.read(formatted) == turns
         assert "".join(chat.DEFAULT.unescape(t) for t, loss in parts if loss) == "".join(t for r, t in turns if r == "assistant")
@@ -32,9 +32,18 @@ def test_query_as_by_brute_force(spark):
 
 
 def test_machine_names_the_first_turn_out_of_order():
-    check = chat.DEFAULT.check
-    assert check(["user", "assistant"]) is None and check(["system", "user", "assistant", "user", "assistant"]) is None
-    assert check(["assistant"]) == 0 and check(["user", "user"]) == 1 and check(["user"]) == 1 and check([]) == 0 and check(["user", "tool"]) == 1
+    def walk(*roles):
+        return chat.DEFAULT.walk([(r, "t") for r in roles])[1:]
+
+    assert walk("user", "assistant") == (None, True) and walk("system", "user", "assistant", "user", "assistant") == (None, True)
+    assert walk("assistant") == (0, True) and walk("user", "user") == (1, False) and walk("user") == (None, False)
+    assert walk() == (None, False) and walk("user", "tool") == (1, False) and walk("user", "system", "user", "assistant") == (1, True)
+
+
+def test_segments_are_what_transitions_emit():
+    assert chat.DEFAULT.walk([("user", "a"), ("assistant", "b")])[0] == [("<s>", False), ("[INST] ", False), ("a", False), (" [/INST]", False), ("[ANS]", False), ("b", True), ("</s>", False)]
+    own = chat.Template(start="", roles={"q": ("Q:", "\n", False), "a": ("A:", "\n", True)}, moves={"start": {"q": "asked"}, "asked": {"a": "start"}}, ends=frozenset({"start"}))
+    assert own.walk([("q", "1"), ("a", "2")]) == ([("", False), ("Q:", False), ("1", False), ("\n", False), ("A:", False), ("2", True), ("\n", False)], None, True)
 
 
 def test_planted_conversation(spark):
