@@ -1,18 +1,23 @@
 """Exact deduplication with a log-structured merge index.
 
 A task keeps a memtable of digests. When it is full it is flushed as a run: digests in order, with a Bloom
-filter; a later document asks the filters of the task's runs before it searches one. An entry holds the best row
-so far (most code points, then smallest identifier), a count, and the text, packed, so that every hit is verified
-byte by byte. Runs of all tasks are dealt by digest and merged in order (compaction), again with verification.
-A group of copies of any size sends an entry for each task, never its rows. Rows then learn what their entry
-became by a join on (task, entry), which no group can make hot.
+filter; a later document asks the filters of the task's runs before it searches one. Runs of one size are merged
+(compaction), so that a document asks few. An entry holds the best row so far (most code points, then smallest
+identifier), a count, and the text, packed, so that every hit is verified byte by byte. When the runs of a task hold
+more than BYTES they leave it, and it begins anew. Runs of all tasks are dealt by digest and merged in order, again
+with verification. A group of copies of any size sends an entry for each task and each BYTES of it, never its rows,
+and the merge holds one text of it and two numbers for each entry. Rows then learn what their entry became by a join
+on (task, entry), which no group can make hot.
 
 Cases: null counts as empty; texts of white space only equal the empty text; rows that repeat doc_id and text
-are copies of which exactly one is kept; an empty table gives an empty result; other columns are not read."""
+are copies of which exactly one is kept; a null doc_id comes after any other; an empty table gives an empty result;
+other columns are not read."""
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+import itertools
 from bisect import bisect_left
 from functools import partial
 
@@ -22,30 +27,36 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, batch, texts, tidy
+from .common import SPACES, Scratch, batch, blocks, texts, tidy
 
 _DROP = SPACES.encode()
 
 
+#: Packed bytes that a task holds at most in its runs.
+BYTES = 64 << 20
+
+
 class Entry:
-    __slots__ = ("doc", "length", "n", "number", "packed", "row")
+    __slots__ = ("best", "n", "number", "packed")
 
     def __init__(self, length, doc, row, packed, number):
-        self.length, self.doc, self.row, self.packed, self.number, self.n = length, doc, row, packed, number, 1
+        self.best, self.packed, self.number, self.n = self.order(length, doc, row), packed, number, 1
+
+    @staticmethod
+    def order(length, doc, row):
+        return -length, doc is None, doc or 0, row
 
     def add(self, length, doc, row):
         self.n += 1
-        if (-length, doc, row) < (-self.length, self.doc, self.row):
-            self.length, self.doc, self.row = length, doc, row
+        self.best = min(self.best, self.order(length, doc, row))
 
 
 class Run:
     """Digests in order, their entries, and a filter of ten bits a digest."""
 
-    def __init__(self, table: dict[bytes, list[Entry]]):
-        self.digests = sorted(table)
-        self.entries = [table[d] for d in self.digests]
-        self.size = max(64, 10 * len(table))
+    def __init__(self, digests: list[bytes], entries: list[list[Entry]]):
+        self.digests, self.entries = digests, entries
+        self.size = max(64, 10 * len(digests))
         self.bits = bytearray(self.size // 8 + 1)
         for d in self.digests:
             for p in self._places(d):
@@ -66,26 +77,54 @@ class LsmIndex:
     """memtable: digests until a flush. Texts of one digest that differ have an entry each."""
 
     def __init__(self, memtable: int = 20_000):
-        self.most, self.table, self.runs, self.count = memtable, {}, [], 0
+        self.most, self.table, self.runs, self.count, self.held = memtable, {}, [], 0, 0
         self.pack, self.unpack = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
 
-    def put(self, digest: bytes, text: bytes, length: int, doc: int, row: int) -> int:
+    def _entries(self, digest: bytes):
+        yield self.table.get(digest, ())
+        for r in reversed(self.runs):
+            yield r.get(digest)
+
+    def put(self, digest: bytes, text: bytes, length: int, doc: int | None, row: int) -> int:
         """The number of the text's entry."""
-        for entries in (self.table.get(digest, ()), *(r.get(digest) for r in self.runs)):
+        for entries in self._entries(digest):
             for e in entries:
                 if self.unpack.decompress(e.packed) == text:  # byte verification
                     e.add(length, doc, row)
                     return e.number
         if len(self.table) >= self.most:
             self.flush()
-        self.table.setdefault(digest, []).append(Entry(length, doc, row, self.pack.compress(text), self.count))
+        entry = Entry(length, doc, row, self.pack.compress(text), self.count)
+        self.table.setdefault(digest, []).append(entry)
+        self.held += len(entry.packed)
         self.count += 1
         return self.count - 1
 
     def flush(self) -> None:
+        """The memtable becomes a run; while the last two runs are of like size, they are merged."""
         if self.table:
-            self.runs.append(Run(self.table))
+            order = sorted(self.table)
+            self.runs.append(Run(order, [self.table[d] for d in order]))
             self.table = {}
+        while len(self.runs) > 1 and len(self.runs[-2].digests) <= 2 * len(self.runs[-1].digests):
+            a, b = self.runs[-2:]
+            digests, entries = [], []
+            for d, own in heapq.merge(zip(a.digests, a.entries, strict=True), zip(b.digests, b.entries, strict=True), key=lambda x: x[0]):
+                if digests and digests[-1] == d:  # different texts of one digest
+                    entries[-1] = entries[-1] + own
+                else:
+                    digests.append(d)
+                    entries.append(own)
+            self.runs[-2:] = [Run(digests, entries)]
+
+    def drain(self):
+        """(digest, entry) of all runs, which are then empty; numbers of entries go on."""
+        self.flush()
+        runs, self.runs, self.held = self.runs, [], 0
+        for run in runs:
+            for d, entries in zip(run.digests, run.entries, strict=True):
+                for e in entries:
+                    yield d, e
 
 
 _READ = pa.schema([("task", pa.int64()), ("entry", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("length", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())])
@@ -94,25 +133,27 @@ _READ_DDL = "task long, entry long, row long, doc_id long, digest binary, length
 
 @tidy
 def _index(batches, memtable):
-    """A row for each document (digest null) and, at the end, each entry of the task's runs."""
+    """A row for each document (digest null) and, as runs leave the task, each of their entries."""
     task, index, row = TaskContext.get().partitionId(), LsmIndex(memtable), 0
-    for b in batches:
+
+    def left():
+        for part in itertools.batched(index.drain(), 2000):
+            yield batch(_READ, *zip(*((task, e.number, e.best[3], None if e.best[1] else e.best[2], d, -e.best[0], e.n, e.packed) for d, e in part), strict=True))
+
+    for b in blocks(batches):
         entries = []
         ids = b.column(0).to_pylist()
         for i, t in enumerate(texts(b.column(1))):
             norm = t.translate(None, _DROP)
             length = len(t) if t.isascii() else len(t.decode())
-            doc = ids[i] if ids[i] is not None else 1 << 62
-            entries.append(index.put(hashlib.sha256(norm).digest(), norm, length, doc, row + i))
+            entries.append(index.put(hashlib.sha256(norm).digest(), norm, length, ids[i], row + i))
         n = len(ids)
         none = pa.nulls(n)
         yield batch(_READ, [task] * n, entries, list(range(row, row + n)), b.column(0), *(none.cast(f.type) for f in list(_READ)[4:]))
         row += n
-    index.flush()
-    for run in index.runs:
-        flat = [(task, e.number, e.row, e.doc, d, e.length, e.n, e.packed) for d, es in zip(run.digests, run.entries, strict=True) for e in es]
-        for i in range(0, len(flat), 2000):
-            yield batch(_READ, *zip(*flat[i : i + 2000], strict=True))
+        if index.held > BYTES:
+            yield from left()
+    yield from left()
 
 
 _MERGED = pa.schema([("task", pa.int64()), ("entry", pa.int64()), ("keep_id", pa.int64()), ("keep_task", pa.int64()), ("keep_row", pa.int64()), ("group_size", pa.int64()), ("text_sha256", pa.string())])
@@ -124,30 +165,32 @@ def _compact(batches):
     """Entries in order of digest: those of one digest and equal bytes become one group."""
     unpack = zstandard.ZstdDecompressor()
 
-    def groups(digest, same):
-        kinds: list[tuple[bytes, list]] = []
-        for e in same:
-            text = unpack.decompress(e[7]) if len(same) > 1 else b""
-            own = next((k for k in kinds if k[0] == text), None)
-            kinds.append(own := (text, [])) if own is None else None
-            own[1].append(e)
-        for _, members in kinds:
-            best = min(members, key=lambda e: (-e[5], e[3], e[0], e[2]))
-            size = sum(e[6] for e in members)
-            for e in members:
-                yield e[0], e[1], best[3] if best[3] != 1 << 62 else None, best[0], best[2], size, digest.hex()
-
-    same, digest = [], None
+    def groups(digest, kinds):
+        for _, best, size, members in kinds:
+            _, no_id, doc, task, row = best
+            for t, e in members:
+                yield t, e, None if no_id else doc, task, row, size, digest.hex()
+
+    kinds, digest = [], None  # of a digest, for each text: [packed, order of the best row, rows, (task, entry) of its entries]
     for b in batches:
         out = []
-        for e in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if e[4] != digest:
-                out += groups(digest, same)
-                same, digest = [], e[4]
-            same.append(e)
+        for task, entry, row, doc, d, length, n, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if d != digest:
+                out += groups(digest, kinds)
+                kinds, digest = [], d
+            best = (-length, doc is None, doc or 0, task, row)
+            own = next((k for k in kinds if k[0] == packed or unpack.decompress(k[0]) == unpack.decompress(packed)), None)
+            if own is None:
+                kinds.append([packed, best, n, [(task, entry)]])
+            else:
+                own[1], own[2] = min(own[1], best), own[2] + n
+                own[3].append((task, entry))
+            if len(out) > 10_000:
+                yield batch(_MERGED, *zip(*out, strict=True))
+                out = []
         if out:
             yield batch(_MERGED, *zip(*out, strict=True))
-    if out := list(groups(digest, same)):
+    if out := list(groups(digest, kinds)):
         yield batch(_MERGED, *zip(*out, strict=True))
 
 
