@@ -5,7 +5,7 @@ lies on either side encodes alone. A byte before a space is such a pair but wher
 white space; a space between two characters that are not white also always begins a pre-token, and no merge
 crosses pre-tokens either. So a text falls apart at its single spaces into fragments that encode independently;
 a fragment is cut again into pre-tokens and at every other forced pair. Ids are kept as bytes
-(little-endian 32-bit), so joining fragments is joining bytes. Fragments are remembered up to a fixed number.
+(little-endian 32-bit), so joining fragments is joining bytes. Fragments are remembered up to a fixed number of bytes.
 
 Cases: null is an empty text, which has no ids; whole texts of any length; the string of a special token in a
 text becomes its id, as the tokenizers library has it; truncation and padding of the file are not applied;
@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, tidy
+from .common import batch, blocks, tidy
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -41,26 +41,33 @@ def _byte_letters() -> dict[str, int]:
 
 
 class _Fragments(dict):
-    """Ids of at most so many fragments; none beyond LONGEST letters."""
+    """Ids of fragments, those of at most LONGEST letters remembered in two generations of about `most` bytes.
 
-    LONGEST = 64
+    When the young generation is full it becomes the old one, from which fragments that occur again return."""
+
+    LONGEST, OVERHEAD = 64, 160  # bytes of two objects and their place in a table
 
     def __init__(self, encode, most: int):
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.held, self.old = encode, most, 0, {}
 
     def __missing__(self, s):
-        ids = self.encode(s)
-        if len(s) <= self.LONGEST:
-            if len(self) >= self.most:
-                self.clear()
-            self[s] = ids
+        ids = self.old.pop(s, None)
+        if ids is None:
+            ids = self.encode(s)
+            if len(s) > self.LONGEST:
+                return ids
+        self.held += len(s) + len(ids) + self.OVERHEAD
+        if self.held > self.most:
+            self.old, self.held = dict(self), 0
+            self.clear()
+        self[s] = ids
         return ids
 
 
 class ForcedBoundaryBpe:
-    """most: fragments remembered."""
+    """most: bytes of remembered fragments in each generation of its two stores."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 48 << 20):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -156,7 +163,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.b
 @tidy
 def _encode(batches, path, with_ids):
     bpe = load(path)
-    for b in batches:
+    for b in blocks(batches):
         n, kept, shas, back = [], [], [], []
         for t in b.column(1):
             ids = bpe.encode(t.as_py() or "")
