@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from gridloom.llm import toxicity
@@ -19,7 +20,8 @@ def grammar():
 
 
 def test_clauses_are_scored_not_words():
-    score = lambda s: max(toxicity.Grammar.clause(grammar(), s.split())[0], 0.0)
+    g = grammar()
+    score = lambda s: g.machine.clause([g.symbols[w] for w in s.split()])[0]
     plain = score("what an idiotic thing")
     assert score("you idiots") > plain > score("not an idiotic thing") > 0
     assert score("he said what an idiotic thing") < plain
@@ -41,3 +43,28 @@ def test_labels_of_the_held_out_fold_change_nothing(spark):
     docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
     models = [toxicity.fit(spark, docs, x.where(~toxicity.held_out(x["doc_id"]))) for x in (labels, labels.selectExpr("doc_id", f"case when crc32(cast(cast(doc_id as string) as binary)) % 5 = 0 then 1 - toxic else toxic end as toxic"))]
     assert models[0].weights.tolist() == models[1].weights.tolist() and models[0].grammar.entries == models[1].grammar.entries
+
+
+def test_machine_is_the_composition_of_the_transducers():
+    """Clauses scored by a plain loop over the words, without states."""
+    g, rng = toxicity.Grammar({"idiot*": 2.0, "fool": 1.5}), random.Random(2)
+    words = ["idiots", "fool", "kill", "you", "not", "said", "thing", "a", "never", "they"]
+    for _ in range(3000):
+        c = [rng.choice(words) for _ in range(rng.randint(0, 9))]
+        total = 0.0
+        for i, w in enumerate(c):
+            weight = {"idiots": 2.0, "fool": 1.5}.get(w, 0.0)
+            weight *= 0.3 if {"not", "never"} & set(c[max(0, i - toxicity.NEAR) : i]) else 1.0
+            total += weight * (0.5 if "said" in c[:i] else 1.0)
+        insult, threat, aimed = {"idiots", "fool"} & set(c), "kill" in c, {"you", "they"} & set(c)
+        total += 1.0 if threat and (insult or aimed) else 0.0
+        want = total * (1.25 if aimed else 1.0) if insult or (threat and aimed) else 0.0
+        got = g.machine.clause([g.symbols[w] for w in c])
+        assert abs(got[0] - want) < 1e-12 and got[1] == bool(threat and aimed), c
+
+
+def test_long_words_and_all_entries_count():
+    word = "x" * 5000
+    named = ["w" + "".join(chr(97 + int(c)) for c in str(i)) for i in range(30_000)]
+    g = toxicity.Grammar({word: 3.0} | dict.fromkeys(named, 1.0))
+    assert g.features(f"you {word}")[0] > 3 and g.features(f"you {named[-1]}")[0] > 1 and g.features("you " + word[:-1])[0] == 0
