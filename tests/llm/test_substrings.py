@@ -1,6 +1,8 @@
 import random
 
 import brute
+import numpy as np
+import pytest
 from gridloom.llm import substrings
 
 
@@ -19,7 +21,9 @@ def corpus(seed):
     return rows
 
 
-def test_removes_what_brute_force_removes(spark):
+@pytest.mark.parametrize("many", [substrings.MANY, 1])
+def test_removes_what_brute_force_removes(spark, monkeypatch, many):
+    monkeypatch.setattr(substrings, "MANY", many)
     for seed in (1, 2):
         rows = corpus(seed)
         df = spark.createDataFrame([(i, t, "c", 1) for i, t in enumerate(rows)], "doc_id long, text string, kept string, rid int").repartition(3 * seed)
@@ -41,3 +45,20 @@ def test_repeated_rows_under_one_id_and_empty_table(spark):
     df = spark.createDataFrame([(1, t), (1, t), (None, "a b")], "doc_id long, text string")
     assert sorted((r.n_words, r.n_removed) for r in substrings.remove_repeats(spark, df, 35).collect()) == [(2, 0), (60, 60), (60, 60)]
     assert substrings.remove_repeats(spark, df.limit(0), 35).collect() == []
+
+
+def test_a_task_tells_of_every_hash_that_it_meets_again(monkeypatch):
+    """Whatever a task forgets: of a hash that it meets twice, a row that says so is sent, and others are known or sent."""
+    rng = np.random.default_rng(1)
+    for most in (4_000_000, 20):
+        monkeypatch.setattr(substrings.Seen, "MOST", most)
+        repeats, blocks, sent = substrings.Repeats(), [rng.integers(0, 300, 50).astype(np.int64) for _ in range(60)], []
+        for b in blocks:
+            send, known = repeats(b)
+            assert (send | known).all()
+            sent += zip(b[send].tolist(), known[send].tolist(), strict=True)
+        every = np.concatenate(blocks).tolist()
+        rows = {h: [k for x, k in sent if x == h] for h in set(every)}
+        assert all(len(k) > 1 or k[0] == (every.count(h) > 1) for h, k in rows.items())
+        if most > 300:
+            assert max(map(len, rows.values())) <= 2
