@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import load
-from .common import batch, tidy
+from .common import batch, blocks, tidy
 
 #: Pieces among which a task chooses.
 POOL = 256
+#: Pieces of a sequence at most, where documents are packed (their loss-bearing tokens are all their tokens).
+SEGMENTS = 64
 
 
 class Packer:
@@ -140,7 +142,7 @@ def _pack(batches, path, limits, end, with_ids):
                 del held[key]
         return out
 
-    for b in batches:
+    for b in blocks(batches):
         out = []
         for doc_id, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             ids = bpe.encode(t.as_py() or "") + tail
@@ -193,4 +195,4 @@ def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False).drop("ids")
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), segments=SEGMENTS, with_ids=False).drop("ids")
