@@ -39,6 +39,11 @@ def strides(dims) -> list[int]:
     return out
 
 
+def key_type(size: int) -> str:
+    """The type of an index column of a dimension of that size."""
+    return "int" if size <= 1 << 31 else "bigint"
+
+
 def ravel(dims, names=None) -> Column:
     """Column-major linear index over dims."""
     names = names or [f"d{k}" for k in range(len(dims))]
@@ -51,7 +56,7 @@ def unravel(index: Column, dims) -> dict[int, Column]:
     out, s = {}, 1
     for k, d in enumerate(dims):
         if d > 1:
-            out[k] = F.pmod(F.floor(index / F.lit(s)) if s > 1 else index, F.lit(d)).cast("int")
+            out[k] = F.pmod(F.call_function("div", index, F.lit(s)) if s > 1 else index, F.lit(d)).cast(key_type(d))
             s *= d
     return out
 
@@ -65,7 +70,7 @@ class ArrayFrame:
     def of(df: DataFrame, dims) -> ArrayFrame:
         dims = normalise_dims(dims)
         keys = [f"d{k}" for k, d in enumerate(dims) if d > 1]
-        return ArrayFrame(df.select(*(F.col(c).cast("int").alias(c) for c in keys), F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im")), dims)
+        return ArrayFrame(df.select(*(F.col(c).cast(key_type(dims[int(c[1:])])).alias(c) for c in keys), F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im")), dims)
 
     @staticmethod
     def from_numpy(spark: SparkSession, a) -> ArrayFrame:
@@ -127,3 +132,41 @@ class ArrayFrame:
 
     def sparsify(self) -> ArrayFrame:
         return ArrayFrame(self.df.where("re <> 0 or im <> 0"), self.dims)
+
+
+@dataclass(frozen=True)
+class ArrayPair:
+    """Two arrays of equal sizes over one table: re, im and re2, im2 of each cell, so that no join is needed to meet them."""
+
+    df: DataFrame
+    dims: tuple[int, ...]
+
+    @property
+    def keys(self) -> list[str]:
+        return [f"d{k}" for k, d in enumerate(self.dims) if d > 1]
+
+    @property
+    def size(self) -> int:
+        return math.prod(self.dims)
+
+    @property
+    def first(self) -> ArrayFrame:
+        return ArrayFrame(self.df.select(*self.keys, "re", "im"), self.dims)
+
+    @property
+    def second(self) -> ArrayFrame:
+        return ArrayFrame(self.df.select(*self.keys, F.col("re2").alias("re"), F.col("im2").alias("im")), self.dims)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Rows written to the checkpoint folder of the session, so that rounds do not pile up; in place where there is none (tests)."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        import tempfile
+
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="gridloom-"))
+    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    return df.checkpoint()

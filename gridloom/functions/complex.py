@@ -71,6 +71,22 @@ def phase(a: Z) -> Z:
     return F.when(m == 0, 1.0).otherwise(safe(a[0], m)), safe(a[1], m)
 
 
+def round_away(x: Column) -> Column:
+    """Rounding to whole numbers, halves away from zero."""
+    return F.signum(x) * F.floor(F.abs(x) + 0.5)
+
+
+#: Comparisons of real parts, as 1 or 0, and element-wise extremes.
+COMPARISONS = {
+    "zless": lambda a, b: (F.when(a[0] < b[0], 1.0).otherwise(0.0), F.lit(0.0)),
+    "zlessequal": lambda a, b: (F.when(a[0] <= b[0], 1.0).otherwise(0.0), F.lit(0.0)),
+    "zgreat": lambda a, b: (F.when(a[0] > b[0], 1.0).otherwise(0.0), F.lit(0.0)),
+    "zgreatequal": lambda a, b: (F.when(a[0] >= b[0], 1.0).otherwise(0.0), F.lit(0.0)),
+    "zequal": lambda a, b: (F.when((a[0] == b[0]) & (a[1] == b[1]), 1.0).otherwise(0.0), F.lit(0.0)),
+    "zmax": lambda a, b: (F.greatest(a[0], b[0]), F.lit(0.0)),
+    "zmin": lambda a, b: (F.least(a[0], b[0]), F.lit(0.0)),
+}
+
 FUNCTIONS = {
     "zabs": lambda a: (mag(a), F.lit(0.0)),
     "zacosr": lambda a: (F.acos(a[0]), F.lit(0.0)),
@@ -84,7 +100,7 @@ FUNCTIONS = {
     "zlog": log,
     "zphsr": phase,
     "zreal": lambda a: (a[0], F.lit(0.0)),
-    "zround": lambda a: (F.rint(a[0]), F.rint(a[1])),
+    "zround": lambda a: (round_away(a[0]), round_away(a[1])),
     "zsin": lambda a: (F.sin(a[0]) * F.cosh(a[1]), F.cos(a[0]) * F.sinh(a[1])),
     "zsinh": lambda a: (F.sinh(a[0]) * F.cos(a[1]), F.cosh(a[0]) * F.sin(a[1])),
     "zsqrt": lambda a: power(a, 0.5),

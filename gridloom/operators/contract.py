@@ -5,15 +5,24 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..frame import ArrayFrame, flag_dims
+from ..frame import ArrayFrame, ArrayPair, flag_dims
 from ..functions import complex as C
 
 #: Cells up to which one side of a contraction is broadcast; its size is known from its dims.
 BROADCAST_CELLS = 1 << 16
+#: Values of which a covariance is made on the driver at most.
+MATRIX = 4096
 
 
-def fmac(a: ArrayFrame, b: ArrayFrame | None = None, squash: int = 0, conj: bool = False) -> ArrayFrame:
-    """a * b (b conjugated on request, ones if missing), summed over the squashed dimensions."""
+def fmac(a: ArrayFrame | ArrayPair, b: ArrayFrame | None = None, squash: int = 0, conj: bool = False) -> ArrayFrame:
+    """a * b (b conjugated on request, ones if missing), summed over the squashed dimensions; a may be a pair of both."""
+    if isinstance(a, ArrayPair):
+        other = (F.col("re2"), F.col("im2"))
+        re, im = C.mul((F.col("re"), F.col("im")), C.conj(other) if conj else other)
+        from .reduce import total
+
+        out = ArrayFrame(a.df.select(*a.keys, re.alias("re"), im.alias("im")), a.dims)
+        return total(out, squash) if out.selected(squash) else out
     if b is None:
         from .reduce import total
 
@@ -61,25 +70,50 @@ def conv(a, kernel, flags: int):
 
 
 def covariance(a, sample_flags: int, centre: bool = True) -> np.ndarray:
-    """Covariance (n - 1) of the one remaining dimension over the sampled ones; small, on the driver."""
+    """Covariance (n - 1) of the one remaining dimension over the sampled ones; small, on the driver.
+
+    A task adds up the matrix of the samples it holds, one triangle and block by block, and sends it once."""
     own = a.complement(sample_flags)
     if len(own) != 1:
         raise ValueError("one dimension must remain")
     k, n = int(own[0][1:]), a.extent(sample_flags)
+    m = a.dims[k]
+    if m > MATRIX:
+        raise ValueError(f"a covariance of {m} values does not fit the driver")
     keys = [c for c in a.keys if c != own[0]]
-    x = a.df
-    rows = x.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(own[0]).alias("i"), "re", "im"))).alias("v"))
-    pairs = rows.select(F.explode("v").alias("x"), "v").select("x", F.explode("v").alias("y"))
-    re, im = C.mul((F.col("x.re"), F.col("x.im")), C.conj((F.col("y.re"), F.col("y.im"))))
-    found = pairs.groupBy(F.col("x.i").alias("i"), F.col("y.i").alias("j")).agg(F.sum(re).alias("re"), F.sum(im).alias("im")).collect()
-    out, mean = np.zeros((a.dims[k],) * 2, complex), np.zeros(a.dims[k], complex)
+    value = F.struct(F.col(own[0]).cast("int").alias("i"), "re", "im")
+    rows = a.df.groupBy(*keys).agg(F.collect_list(value).alias("v")).select("v")
+
+    def gram(batches):
+        import pyarrow as pa
+
+        out, mean = np.zeros((m, m), complex), np.zeros(m, complex)
+        for b in batches:
+            lists = b.column(0)
+            flat = lists.flatten()
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            i = flat.field("i").to_numpy()
+            z = flat.field("re").to_numpy() + 1j * flat.field("im").to_numpy()
+            for s in range(0, len(lists), 4096):
+                at = slice(*np.searchsorted(row, [s, min(s + 4096, len(lists))]))
+                x = np.zeros((min(4096, len(lists) - s), m), complex)
+                x[row[at] - s, i[at]] = z[at]
+                out += x.T @ x.conj()
+                mean += x.sum(0)
+        ij = np.argwhere(np.triu(np.ones((m, m), bool)) & (out != 0))
+        found = out[ij[:, 0], ij[:, 1]]
+        i, j = np.append(ij[:, 0], np.arange(m)), np.append(ij[:, 1], np.full(m, -1))
+        z = np.append(found, mean)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(z.real), pa.array(z.imag)], names=["i", "j", "re", "im"])
+
+    found = rows.mapInArrow(gram, "i int, j int, re double, im double").groupBy("i", "j").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).collect()
+    out, mean = np.zeros((m, m), complex), np.zeros(m, complex)
     for r in found:
-        out[r.i, r.j] = complex(r.re, r.im)
-    if not centre:
-        return out
-    for r in x.groupBy(own[0]).agg(F.sum("re").alias("re"), F.sum("im").alias("im")).collect():
-        mean[r[0]] = complex(r.re, r.im) / n
-    return (out - n * np.outer(mean, mean.conj())) / (n - 1)
+        if r.j < 0:
+            mean[r.i] = complex(r.re, r.im) / n
+        else:
+            out[r.i, r.j], out[r.j, r.i] = complex(r.re, r.im), complex(r.re, -r.im)
+    return (out - n * np.outer(mean, mean.conj())) / (n - 1) if centre else out
 
 
 def apply_matrix(a, m: np.ndarray, dim: int):

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..frame import ArrayFrame
+from ..frame import ArrayFrame, ArrayPair
 from ..functions import complex as C
 
 
@@ -63,8 +63,22 @@ def invert(a, regularisation: float = 0.0):
     return a.with_values(*C.div(C.cx(1), _v()))
 
 
-def saxpy(factor, x, y):
-    """factor * x + y."""
+def compare(a, b, name: str):
+    """A comparison or extreme of two arrays, cell by cell (absent cells are zeros)."""
+    from .reduce import paired
+
+    if name not in C.COMPARISONS:
+        raise ValueError(f"unknown comparison {name}")
+    p = paired(a.densify(), b)
+    re, im = C.COMPARISONS[name](_v(), (F.col("re2"), F.col("im2")))
+    return ArrayFrame(p.select(*a.keys, re.alias("re"), im.alias("im")), a.dims)
+
+
+def saxpy(factor, x, y=None):
+    """factor * x + y; x may be a pair of both."""
+    if isinstance(x, ArrayPair):
+        re, im = C.mul(_v(), C.cx(factor))
+        return ArrayFrame(x.df.select(*x.keys, (re + F.col("re2")).alias("re"), (im + F.col("im2")).alias("im")), x.dims)
     if x.dims != y.dims:
         raise ValueError("sizes differ")
     both = scale(x, factor).df.unionByName(y.df)
@@ -90,19 +104,27 @@ def window_taper(a, flags: int, hann: bool = False):
     return a.with_values(F.col("re") * w, F.col("im") * w)
 
 
+def _joined(a, flags: int, value):
+    """The rows of a with a value aggregated over the flagged dimensions (column m): an aggregation and a join, no window."""
+    from .contract import BROADCAST_CELLS
+
+    rest = a.complement(flags)
+    if not rest:
+        return a.df.crossJoin(F.broadcast(a.df.agg(value.alias("m"))))
+    known = a.df.groupBy(*rest).agg(value.alias("m"))
+    small = math.prod(a.dims[int(c[1:])] for c in rest) <= BROADCAST_CELLS
+    return a.df.join(F.broadcast(known) if small else known, rest)
+
+
 def normalize(a, flags: int, l1: bool = False):
     """Division by the norm over the flagged dimensions; 0/0 is 0."""
-    rest = a.complement(flags)
-    w = Window.partitionBy(*rest)
-    norm = F.sum(C.mag(_v())).over(w) if l1 else F.sqrt(F.sum(C.absq(_v())).over(w))
-    df = a.df.withColumn("norm", norm)
-    return ArrayFrame(df.select(*a.keys, C.safe(F.col("re"), F.col("norm")).alias("re"), C.safe(F.col("im"), F.col("norm")).alias("im")), a.dims)
+    df = _joined(a, flags, F.sum(C.mag(_v())) if l1 else F.sqrt(F.sum(C.absq(_v()))))
+    return ArrayFrame(df.select(*a.keys, C.safe(F.col("re"), F.col("m")).alias("re"), C.safe(F.col("im"), F.col("m")).alias("im")), a.dims)
 
 
 def soft_threshold(a, level: float, joint: int = 0):
     """Magnitudes shrink by level; jointly: the norm over the flagged dimensions does."""
-    m = F.sqrt(F.sum(C.absq(_v())).over(Window.partitionBy(*a.complement(joint)))) if joint else C.mag(_v())
-    df = a.df.withColumn("m", m)
+    df = _joined(a, joint, F.sqrt(F.sum(C.absq(_v())))) if joint else a.df.withColumn("m", C.mag(_v()))
     f = C.safe(F.greatest(F.col("m") - level, F.lit(0.0)), F.col("m"))
     return ArrayFrame(df.select(*a.keys, (F.col("re") * f).alias("re"), (F.col("im") * f).alias("im")), a.dims)
 
@@ -118,15 +140,21 @@ def binary_threshold(a, level: float):
 
 def top_k_mask(a, k: int, flags: int):
     """One where the magnitude is larger than the (k+1)-th largest over the flagged dimensions (ties there drop)."""
-    m = C.mag(_v())
-    w = Window.partitionBy(*a.complement(flags)).orderBy(F.desc("m"))
-    df = a.df.withColumn("m", m).withColumn("r", F.row_number().over(w))
-    limit = F.max(F.when(F.col("r") == k + 1, F.col("m"))).over(Window.partitionBy(*a.complement(flags)))
-    df = df.withColumn("limit", F.coalesce(limit, F.lit(0.0)))
+    rest = a.complement(flags)
+    df = a.df.withColumn("m", C.mag(_v()))
+    if rest:  # only k + 1 rows of a group and task are exchanged
+        w = Window.partitionBy(*rest).orderBy(F.desc("m"))
+        first = df.select(*rest, "m", F.row_number().over(w).alias("r")).where(F.col("r") <= k + 1)
+        limit = first.groupBy(*rest).agg(F.max(F.when(F.col("r") == k + 1, F.col("m"))).alias("limit"))
+        df = df.join(limit, rest)
+    else:
+        first = df.select("m").orderBy(F.desc("m")).limit(k + 1)
+        df = df.crossJoin(F.broadcast(first.agg(F.when(F.count(F.lit(1)) == k + 1, F.min("m")).alias("limit"))))
+    df = df.withColumn("limit", F.coalesce("limit", F.lit(0.0)))
     return ArrayFrame(df.select(*a.keys, F.when(F.col("m") > F.col("limit"), 1.0).otherwise(0.0).alias("re"), F.lit(0.0).alias("im")), a.dims)
 
 
-def looklocker(a, threshold: float = 0.0, delay: float = 0.0):
+def looklocker(a, threshold: float = 0.2, delay: float = 0.0):
     """T1 = M0 / (Mss R1*) + 2 delay from the coefficients (Mss, M0, R1*) in dim 6; 0 where Mss is below the threshold."""
     rest = a.complement(1 << 6)
     pick = lambda i: F.max(F.when(F.col("d6") == i, C.mag(_v())))

@@ -189,24 +189,26 @@ def singular_threshold(a, level: float, flags: int):
     return blockwise(a, flags, kernel)
 
 
-def nlmeans(a, flags: int, patch: int = 3, distance: int = 5, h: float = 1.0):
-    """Non-local means: weights exp(-d / h^2) of patches around each place within the distance; reflected ends."""
+def nlmeans(a, flags: int, patch: int = 5, distance: int = 5, h: float = 0.04, spread: float | None = None):
+    """Non-local means: every cell within the distance weighs exp(-d / (2 h^2)), d being the squared difference of the
+    patches around both, weighed by a Gaussian (standard deviation spread) of norm one. Ends are reflected."""
+    spread = ((patch - 1) / 4 if patch > 1 else 1.0) if spread is None else spread
 
     def kernel(x):
-        r = patch // 2
-        p = np.pad(x, r, mode="reflect")
-        win = np.lib.stride_tricks.sliding_window_view(p, (patch,) * x.ndim)
+        r, n = patch // 2, x.ndim
+        p = np.pad(x, r + distance, mode="reflect")
+        at = np.arange(patch) - r
+        g = np.exp(-sum(o**2 for o in np.meshgrid(*[at] * n, indexing="ij")) / (2 * spread**2))
+        g /= np.sqrt((g**2).sum())
         total, weight = np.zeros_like(x), np.zeros(x.shape)
-        for s in np.ndindex(*(2 * distance + 1,) * x.ndim):
-            shift = tuple(k - distance for k in s)
-            src = tuple(slice(max(0, k), n + min(0, k)) for k, n in zip(shift, x.shape))
-            dst = tuple(slice(max(0, -k), n + min(0, -k)) for k, n in zip(shift, x.shape))
-            if any(v.start >= v.stop for v in (*src, *dst)):
-                continue
-            d = (np.abs(win[src] - win[dst]) ** 2).mean(tuple(range(x.ndim, 2 * x.ndim)))
-            w = np.exp(-d / h**2)
-            total[dst] += w * x[src]
-            weight[dst] += w
+        own = tuple(slice(distance, distance + s + 2 * r) for s in x.shape)
+        for shift in np.ndindex(*(2 * distance + 1,) * n):
+            other = p[tuple(slice(k, k + s + 2 * r) for k, s in zip(shift, x.shape))]
+            d2 = np.abs(p[own] - other) ** 2
+            d = np.einsum(np.lib.stride_tricks.sliding_window_view(d2, (patch,) * n), list(range(2 * n)), g, list(range(n, 2 * n)), list(range(n)))
+            w = np.exp(-d / (2 * h**2))
+            total += w * other[tuple(slice(r, r + s) for s in x.shape)]
+            weight += w
         return total / weight
 
     return blockwise(a, flags, kernel)
@@ -232,21 +234,45 @@ def rof(a, level: float, flags: int, iterations: int = 100):
     return blockwise(a, flags, kernel)
 
 
-def nudft(traj, image, adjoint: bool = False):
-    """Direct non-uniform Fourier transform: samples x pixels as a bounded exponential sum."""
-    from pyspark.sql import functions as S
+#: Cells of an image that direct transforms may have: every sample is summed over all of them.
+DIRECT_CELLS = 1 << 16
 
-    pos = traj.densify().df.groupBy(*[k for k in traj.keys if k != "d0"]).agg(*(S.max(S.when(S.col("d0") == c, S.col("re"))).alias(f"k{c}") for c in range(3)))
-    if adjoint:
-        raise NotImplementedError("only the forward transform")
+
+def _phases(traj, dims, keys):
+    """(columns of the places of samples, angle of sample and cell) of a direct transform; cells have columns x0, x1, x2."""
+    if np.prod(dims[:3], dtype=np.int64) > DIRECT_CELLS:
+        raise ValueError("the image is too large for a direct transform; use nufft")
+    pick = lambda c: F.coalesce(F.max(F.when(F.col("d0") == c, F.col("re"))), F.lit(0.0)).alias(f"k{c}")
+    pos = traj.densify().df.groupBy(*keys).agg(*(pick(c) for c in range(3)))
+    angle = F.lit(0.0)
+    for k in (0, 1, 2):
+        if dims[k] > 1:
+            angle = angle - F.col(f"k{k}") * (F.col(f"x{k}") - dims[k] // 2) * (2 * np.pi / dims[k])
+    return pos, angle
+
+
+def nudft(traj, image):
+    """Direct non-uniform Fourier transform: every sample as a sum over all cells of a small image."""
     keys = [k for k in traj.keys if k != "d0"]
+    pos, angle = _phases(traj, image.dims, keys)
     pix = image.df.withColumnsRenamed({k: f"x{k[1:]}" for k in image.keys})
-    angle = S.lit(0.0)
-    for k in (0, 1, 2):
-        if image.dims[k] > 1:
-            angle = angle - S.col(f"k{k}") * (S.col(f"x{k}") - image.dims[k] // 2) * (2 * np.pi / image.dims[k])
-    both = pos.crossJoin(S.broadcast(pix) if image.size <= 1 << 16 else pix)
-    c, s = S.cos(angle), S.sin(angle)
-    scale = 1 / np.sqrt(image.size)
-    df = both.groupBy(*keys).agg((S.sum(S.col("re") * c - S.col("im") * s) * scale).alias("re"), (S.sum(S.col("re") * s + S.col("im") * c) * scale).alias("im"))
+    c, s, scale = F.cos(angle), F.sin(angle), 1 / np.sqrt(image.size)
+    re, im = F.col("re"), F.col("im")
+    df = pos.crossJoin(F.broadcast(pix)).groupBy(*keys).agg((F.sum(re * c - im * s) * scale).alias("re"), (F.sum(re * s + im * c) * scale).alias("im"))
     return ArrayFrame.of(df, (1, *traj.dims[1:]))
+
+
+def nudft_adjoint(traj, samples, dims):
+    """The adjoint of nudft: every cell of a small image as a sum over all samples."""
+    from .generate import zeros
+
+    dims = tuple(dims) + (1,) * (16 - len(dims))
+    keys = [k for k in traj.keys if k != "d0"]
+    pos, angle = _phases(traj, dims, keys)
+    cells = zeros(traj.spark, dims)
+    pix = cells.df.select(*(F.col(k).alias(f"x{k[1:]}") for k in cells.keys))
+    c, s, scale = F.cos(angle), F.sin(angle), 1 / np.sqrt(cells.size)
+    re, im = F.col("re"), F.col("im")
+    both = pos.join(samples.df, keys).crossJoin(F.broadcast(pix))
+    df = both.groupBy(*(F.col(f"x{k[1:]}").alias(k) for k in cells.keys)).agg((F.sum(re * c + im * s) * scale).alias("re"), (F.sum(im * c - re * s) * scale).alias("im"))
+    return ArrayFrame.of(df, dims)

@@ -130,21 +130,29 @@ def toraw(a: ArrayFrame, bits: int = 8):
     return a.densify().df.select(ravel(a.dims).alias("lin"), F.floor((v + 1) / 2 * top + 0.5).cast("long").alias("sample"))
 
 
+def _cubic(t):
+    """Weights of the four cells around a place t beyond the second, of the Catmull-Rom cubic."""
+    return [((2 - t) * t - 1) * t / 2, (t * t * (3 * t - 5) + 2) / 2, ((4 - 3 * t) * t + 1) * t / 2, (t - 1) * t * t / 2]
+
+
+def corners(points, keys: list[str], order: int):
+    """(id, index columns, w): the cells that points (id, x0, x1, ..) read and their weights: nearest (0), linear (1) or cubic (3)."""
+    df = points.withColumn("w", F.lit(1.0))
+    for i, k in enumerate(keys):
+        x = D(f"x{i}")
+        t = x - F.floor(x)
+        if order == 0:
+            df = df.withColumn(k, F.floor(x + 0.5).cast("int"))
+            continue
+        weights = {1: [1 - t, t], 3: _cubic(t)}[order]
+        cells = F.array(*(F.struct((F.floor(x) + j - order // 2).cast("int").alias("at"), w.alias("by")) for j, w in enumerate(weights)))
+        df = df.withColumn("c", F.explode(cells)).withColumns({k: D("c.at"), "w": D("w") * D("c.by")}).drop("c")
+    return df.select("id", *keys, "w")
+
+
 def interpolate(a: ArrayFrame, points, order: int = 1):
-    """Values at points (columns id, x0, x1, ..; as many as a has dims) by the nearest cell or linearly; zero outside."""
-    corners = [points.withColumn("w", F.lit(1.0))]
-    for i, k in enumerate(a.keys):
-        x, nxt = D(f"x{i}"), []
-        for df in corners:
-            if order == 0:
-                nxt.append(df.withColumn(k, F.floor(x + 0.5).cast("int")))
-            else:
-                nxt += [df.withColumns({k: F.floor(x).cast("int"), "w": D("w") * (1 - (x - F.floor(x)))}), df.withColumns({k: (F.floor(x) + 1).cast("int"), "w": D("w") * (x - F.floor(x))})]
-        corners = nxt
-    probes = corners[0]
-    for c in corners[1:]:
-        probes = probes.union(c)
-    hit = probes.select("id", *a.keys, "w").join(a.df, a.keys)
+    """Values at points (columns id, x0, x1, ..; as many as a has dims) by the nearest cell, linearly or cubically; cells outside are zero."""
+    hit = corners(points, a.keys, order).join(a.df, a.keys)
     sums = hit.groupBy("id").agg(F.sum(D("w") * D("re")).alias("re"), F.sum(D("w") * D("im")).alias("im"))
     return points.select("id").join(sums, "id", "left").select("id", F.coalesce("re", F.lit(0.0)).alias("re"), F.coalesce("im", F.lit(0.0)).alias("im"))
 
@@ -163,13 +171,10 @@ def fakeksp(image: ArrayFrame, sens: ArrayFrame, measured: ArrayFrame | None = N
 
 def psf(traj: ArrayFrame, x: int, y: int) -> ArrayFrame:
     """Response of a trajectory to one point: the adjoint transform of ones, at every cell of an x by y image."""
-    keys = [k for k in traj.keys if k != "d0"]
-    pos = traj.df.groupBy(*keys).agg(*(F.max(F.when(D("d0") == c, D("re"))).alias(f"k{c}") for c in (0, 1)))
-    pos = pos.groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("w"))  # samples at one place are one term
-    cells = from_index(traj.spark, [x, y], 0.0).df.select("d0", "d1")
-    angle = 2 * math.pi * (D("k0") * (D("d0") - x // 2) / x + D("k1") * (D("d1") - y // 2) / y)
-    sums = cells.crossJoin(pos).groupBy("d0", "d1").agg((F.sum(D("w") * F.cos(angle)) / math.sqrt(x * y)).alias("re"), (F.sum(D("w") * F.sin(angle)) / math.sqrt(x * y)).alias("im"))
-    return ArrayFrame.of(sums, [x, y])
+    from .generate import ones
+    from .noncartesian import nufft_adjoint
+
+    return nufft_adjoint(traj, ones(traj.spark, [1, *traj.dims[1:]]), [x, y])
 
 
 def wavepsf(spark: SparkSession, samples: int, size: int, amplitude: float, cycles: int) -> ArrayFrame:

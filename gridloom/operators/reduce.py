@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..frame import ArrayFrame, flag_dims
+from ..frame import ArrayFrame, ArrayPair, flag_dims
 from ..functions import complex as C
 
 
@@ -67,8 +67,10 @@ def reduce_sets(a, flag_sets):
     return a.df.groupingSets(sets, *map(F.col, keys)).agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.grouping_id().alias("set"))
 
 
-def paired(a, b):
-    """Cells of two arrays of equal sizes side by side; absent ones are zeros."""
+def paired(a, b=None):
+    """Cells of two arrays of equal sizes side by side (or of a pair, as they are); absent ones are zeros."""
+    if isinstance(a, ArrayPair):
+        return a.df
     if a.dims != b.dims:
         raise ValueError("sizes differ")
     other = b.df.withColumnsRenamed({"re": "re2", "im": "im2"})
@@ -76,14 +78,14 @@ def paired(a, b):
     return df.fillna(0.0, ["re", "im", "re2", "im2"])
 
 
-def sdot(a, b) -> complex:
+def sdot(a, b=None) -> complex:
     """Sum of a conj(b)."""
     z = C.mul(_v(), C.conj((F.col("re2"), F.col("im2"))))
     r = paired(a, b).agg(F.sum(z[0]).alias("re"), F.sum(z[1]).alias("im")).first()
     return complex(r.re or 0, r.im or 0)
 
 
-def nrmse(reference, a, scaled: bool = False) -> float:
+def nrmse(reference, a=None, scaled: bool = False) -> float:
     """Root mean square error over that of the reference; scaled: after the best complex scaling of a."""
     p = paired(reference, a)
     r, x = _v(), (F.col("re2"), F.col("im2"))
@@ -96,7 +98,7 @@ def nrmse(reference, a, scaled: bool = False) -> float:
     return math.sqrt(s.dd / s.rr)
 
 
-def measure(reference, a) -> dict:
+def measure(reference, a=None) -> dict:
     """Mean squared errors (complex, and of magnitudes) and peak signal-to-noise ratio."""
     p = paired(reference, a)
     r, x = _v(), (F.col("re2"), F.col("im2"))
@@ -106,17 +108,124 @@ def measure(reference, a) -> dict:
     return {"mse": mse, "mse_mag": mag, "psnr": 20 * math.log10(s.top / math.sqrt(mag)) if mag else math.inf}
 
 
-def roistat(roi, a, bessel: bool = False):
-    """(roi, count, sum, mean, std, var, energy) of a within each slice of a mask over its dimensions beside those of a."""
+def roistat(roi, a, bessel: bool = False, by: int | None = None):
+    """(count, sum, mean, std, var, energy) of a within each slice of a mask.
+
+    Slices are the dimensions that only one of both has, or those flagged in `by` (of the mask)."""
     weights = roi.df.where("re <> 0").select(*roi.keys, F.col("re").alias("w"))
     shared = [k for k in roi.keys if k in a.keys]
     df = weights.join(a.df, shared) if shared else weights.crossJoin(a.df)
-    groups = [k for k in dict.fromkeys([*roi.keys, *a.keys]) if not (k in roi.keys and k in a.keys)]
+    groups = [k for k in dict.fromkeys([*roi.keys, *a.keys]) if (not (k in roi.keys and k in a.keys) if by is None else by >> int(k[1:]) & 1)]
     x = F.col("re") * F.col("w")
     v = F.var_samp(x) if bessel else F.var_pop(x)
     return df.groupBy(*groups).agg(F.count(F.lit(1)).alias("count"), F.sum(x).alias("sum"), F.avg(x).alias("mean"), F.sqrt(v).alias("std"), v.alias("var"), F.sum(x * x).alias("energy"))
 
 
+def union(a, b):
+    """Cells where either mask is not zero, as ones."""
+    both = a.sparsify().df.unionByName(b.sparsify().df)
+    return ArrayFrame(both.select(*a.keys).distinct().select(*a.keys, F.lit(1.0).alias("re"), F.lit(0.0).alias("im")), a.dims)
+
+
+def intersect(a, b):
+    """Cells of a where the mask b is not zero."""
+    return ArrayFrame(a.sparsify().df.join(b.sparsify().df.select(*a.keys), a.keys, "left_semi"), a.dims)
+
+
+def subtract(a, b):
+    """Cells of a where the mask b is zero."""
+    return ArrayFrame(a.sparsify().df.join(b.sparsify().df.select(*a.keys), a.keys, "left_anti"), a.dims)
+
+
+def confusion(a, b, classes: int):
+    """Counts of cells by class in a (dim 0) and in b (dim 1); cells of neither are not counted."""
+    p = a.df.join(b.df.select(*b.keys, F.col("re").alias("re2")), a.keys)
+    df = p.groupBy(F.col("re").cast("int").alias("d0"), F.col("re2").cast("int").alias("d1")).agg(F.count(F.lit(1)).cast("double").alias("re"))
+    return ArrayFrame.of(df.withColumn("im", F.lit(0.0)), [classes, classes])
+
+
+def accuracy(a, b) -> float:
+    """The share of cells of equal class."""
+    r = a.df.join(b.df.select(*b.keys, F.col("re").alias("re2")), a.keys).agg(F.avg((F.col("re") == F.col("re2")).cast("double"))).first()
+    return r[0] or 0.0
+
+
+def dice(a, b, label: float = 1.0) -> float:
+    """Twice the common cells of a label over the cells of it in both."""
+    p = a.df.join(b.df.select(*b.keys, F.col("re").alias("re2")), a.keys, "full")
+    x, y = F.coalesce(F.col("re") == label, F.lit(False)), F.coalesce(F.col("re2") == label, F.lit(False))
+    r = p.agg(F.count_if(x & y).alias("both"), F.count_if(x).alias("x"), F.count_if(y).alias("y")).first()
+    return 2 * r.both / (r.x + r.y) if r.x + r.y else 1.0
+
+
+def cross_entropy(p, q) -> float:
+    """Mean over cells of -log q where the one-hot p is one, categorical."""
+    both = p.sparsify().df.select(*p.keys).join(q.df, p.keys, "left")
+    r = both.agg(F.avg(-F.log(F.greatest(F.coalesce("re", F.lit(0.0)), F.lit(1e-30))))).first()
+    return r[0] or 0.0
+
+
+def norms(a) -> dict:
+    """Sum and largest of magnitudes, root of squares, and mean absolute deviation from the mean real part."""
+    m = C.mag(_v())
+    s = a.df.agg(F.sum(m).alias("l1"), F.sum(C.absq(_v())).alias("l2"), F.max(m).alias("top"), F.sum("re").alias("total")).first()
+    mean = (s.total or 0.0) / a.size
+    mad = (a.densify().df.agg(F.sum(F.abs(F.col("re") - mean))).first()[0] or 0.0) / a.size
+    return {"l1": s.l1 or 0.0, "l2": math.sqrt(s.l2 or 0.0), "max": s.top or 0.0, "mad": mad}
+
+
+def percentile(a, flags: int, share: float):
+    """The order statistic of magnitudes at a share of the cells of the flagged dimensions, interpolated."""
+    a = a.densify()
+    return _reduced(a, flags, F.percentile(C.mag(_v()), share))
+
+
+def centre_of_mass(labels, weights=None):
+    """(label, d<k>.., n): the mean place of the cells of each label that is not zero, weighted on request."""
+    df = labels.sparsify().df.select(*labels.keys, F.col("re").alias("label"))
+    if weights is not None:
+        df = df.join(weights.df.select(*weights.keys, F.col("re").alias("w")), labels.keys)
+    else:
+        df = df.withColumn("w", F.lit(1.0))
+    return df.groupBy("label").agg(*((F.sum(F.col(k) * F.col("w")) / F.sum("w")).alias(k) for k in labels.keys), F.count(F.lit(1)).alias("n"))
+
+
+def mutual_information(a, b, bins: int, low: float = 0.0, high: float = 1.0) -> float:
+    """Of the magnitudes of two arrays in a joint histogram of equal bins between low and high (values beyond are in the last ones)."""
+    p = paired(a, b)
+    at = lambda v: F.least(F.greatest(F.floor((C.mag(v) - low) * (bins / (high - low))), F.lit(0)), F.lit(bins - 1))
+    h = p.groupBy(at(_v()).alias("i"), at((F.col("re2"), F.col("im2"))).alias("j")).agg(F.count(F.lit(1)).alias("n")).collect()
+    n = sum(r.n for r in h)
+    absent = a.size - n  # cells that neither has are zeros
+    joint, left, right = {}, {}, {}
+    zero = min(max(int((0.0 - low) * (bins / (high - low))), 0), bins - 1)
+    for i, j, k in [(r.i, r.j, r.n) for r in h] + ([(zero, zero, absent)] if absent > 0 else []):
+        joint[i, j] = joint.get((i, j), 0) + k
+        left[i], right[j] = left.get(i, 0) + k, right.get(j, 0) + k
+    return sum(k / a.size * math.log(k * a.size / (left[i] * right[j])) for (i, j), k in joint.items())
+
+
+def ssim(reference, a, flags: int, window: int = 7) -> float:
+    """Mean structural similarity of magnitudes over the valid windows of the flagged dimensions; range: the reference's largest."""
+    from .window import moving_average
+
+    p = paired(reference, a)
+    x, y = C.mag(_v()), C.mag((F.col("re2"), F.col("im2")))
+    top = p.agg(F.max(x)).first()[0] or 0.0
+    keys, own, found = reference.keys, reference.selected(flags), None
+    for name, value in (("x", x), ("y", y), ("xx", x * x), ("yy", y * y), ("xy", x * y)):
+        m = ArrayFrame(p.select(*keys, value.alias("re"), F.lit(0.0).alias("im")), reference.dims)
+        for k in own:
+            m = moving_average(m, k, window)
+        part = m.df.select(*m.keys, F.col("re").alias(name))
+        found = part if found is None else found.join(part, m.keys)
+    c1, c2, n = (0.01 * top) ** 2, (0.03 * top) ** 2, window ** len(own)
+    f = n / (n - 1)
+    vx, vy, vxy = (f * (F.col("xx") - F.col("x") ** 2), f * (F.col("yy") - F.col("y") ** 2), f * (F.col("xy") - F.col("x") * F.col("y")))
+    s = (2 * F.col("x") * F.col("y") + c1) * (2 * vxy + c2) / ((F.col("x") ** 2 + F.col("y") ** 2 + c1) * (vx + vy + c2))
+    return found.agg(F.avg(s)).first()[0]
+
+
 def hist(a, component_dim: int, size: int):
     """Joint histogram of the components along a dimension: bin = ceil(size (x + 0.5)), kept in [0, size)."""
     n = a.dims[component_dim]
@@ -125,9 +234,9 @@ def hist(a, component_dim: int, size: int):
     if n == 1:
         df = a.df.select(bins.alias("d0")).where(f"d0 >= 0 and d0 < {size}").groupBy("d0").agg(F.count(F.lit(1)).cast("double").alias("re"))
     else:
-        df = a.densify().df.groupBy(*rest).agg(*(F.max(F.when(F.col(f"d{component_dim}") == i, bins)).alias(f"d{i}") for i in range(n)))
-        ok = " and ".join(f"d{i} >= 0 and d{i} < {size}" for i in range(n))
-        df = df.where(ok).groupBy(*(f"d{i}" for i in range(n))).agg(F.count(F.lit(1)).cast("double").alias("re"))
+        df = a.densify().df.groupBy(*rest).agg(*(F.max(F.when(F.col(f"d{component_dim}") == i, bins)).alias(f"b{i}") for i in range(n)))
+        ok = " and ".join(f"b{i} >= 0 and b{i} < {size}" for i in range(n))
+        df = df.where(ok).groupBy(*(F.col(f"b{i}").alias(f"d{i}") for i in range(n))).agg(F.count(F.lit(1)).cast("double").alias("re"))
     return ArrayFrame.of(df.withColumn("im", F.lit(0.0)), [size] * max(1, n))
 
 

@@ -41,7 +41,8 @@ def cells(a: ArrayFrame, p: int = 4, im: bool = False, **names: str):
     return a.df.select(*cols)
 
 
-LI = "WITH l AS (SELECT CAST(row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS INTEGER) AS d0, CAST(strpos('ANR', l_returnflag) - 1 AS INTEGER) AS d1, CAST(strpos('FO', l_linestatus) - 1 AS INTEGER) AS d2, * FROM lineitem) "
+LI = "WITH l AS (SELECT CAST(row_number() OVER (PARTITION BY l_orderkey, l_returnflag, l_linestatus ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INTEGER) AS d0, CAST(strpos('ANR', l_returnflag) - 1 AS INTEGER) AS d1, CAST(strpos('FO', l_linestatus) - 1 AS INTEGER) AS d2, CAST(l_orderkey AS INTEGER) AS d3, * FROM lineitem) "
+ROWS = 0b1001  # the dimensions of lineitem beside flag and status
 EV = "WITH e AS (SELECT CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS d0, CAST(user_id AS INTEGER) AS d1, value AS x FROM events), g AS (SELECT CAST(i AS INTEGER) AS d0, u.d1, coalesce(e.x, 0) AS x FROM range((SELECT max(d0) + 1 FROM e)) r(i) CROSS JOIN (SELECT CAST(v AS INTEGER) AS d1 FROM range((SELECT max(user_id) + 1 FROM events)) t(v)) u LEFT JOIN e ON e.d0 = r.i AND e.d1 = u.d1) "
 EM = "WITH m AS (SELECT CAST(vec_id AS INTEGER) AS d1, CAST(unnest(range(len(embedding))) AS INTEGER) AS d0, unnest(embedding)::DOUBLE AS x FROM embeddings) "
 EZ = "WITH z AS (SELECT CAST(vec_id AS INTEGER) AS d1, CAST(p AS INTEGER) AS d0, embedding[2 * p + 1]::DOUBLE AS re, embedding[2 * p + 2]::DOUBLE AS im FROM embeddings, range(32) t(p)) "
@@ -51,9 +52,9 @@ CU = "WITH c AS (SELECT CAST(c_custkey AS INTEGER) AS d0, c_acctbal AS x FROM cu
 
 def flagship(spark, sf_dir):
     """Price times discount factor contracted over rows, with statistics of the price over the same dimension."""
-    price, factor = V.lineitem(spark, sf_dir, "l_extendedprice"), V.lineitem(spark, sf_dir, "1 - l_discount")
-    sums = contract.fmac(price, factor, squash=1).df.select("d1", "d2", unit("re", 2).alias("revenue"))
-    mean = reduce.avg(price, 1, nonzero=True).df.select("d1", "d2", unit("re", 2).alias("mean_price"))
+    pair = V.lineitem_pair(spark, sf_dir, "l_extendedprice", "1 - l_discount")
+    sums = contract.fmac(pair, squash=ROWS).df.select("d1", "d2", unit("re", 2).alias("revenue"))
+    mean = reduce.avg(pair.first, ROWS, nonzero=True).df.select("d1", "d2", unit("re", 2).alias("mean_price"))
     return sums.join(mean, ["d1", "d2"])
 
 
@@ -142,10 +143,8 @@ def complex_mul_conj(spark, sf_dir):
 @query(EZ + f"SELECT d0, d1, {U('atan2(im, re)')} AS angle, {U('re / sqrt(re * re + im * im)')} AS re FROM z")
 def carg_phase(spark, sf_dir):
     z = V.pairs(spark, sf_dir)
-    v = (D("re"), D("im"))
-    from ..functions import complex as C
-
-    return z.df.select("d0", "d1", unit(C.arg(v)).alias("angle"), unit(C.phase(v)[0]).alias("re"))
+    angle = elementwise.carg(z).df.select("d0", "d1", unit("re").alias("angle"))
+    return angle.join(elementwise.cpyphs(z.sparsify()).df.select("d0", "d1", unit("re").alias("re")), ["d0", "d1"])
 
 
 @query(PG + f"SELECT d0, {U('exp(-x / 1000) * (0.54 - 0.46 * cos(2 * pi() * d0 / 49))', 6)} AS re FROM p")
@@ -154,19 +153,19 @@ def zexp_taper(spark, sf_dir):
     return cells(elementwise.window_taper(a, 1), 6)
 
 
-@query(LI + f"SELECT d0, d1, d2, {U('CASE WHEN l_discount = 0 THEN 0 ELSE 1 / l_discount END')} AS re FROM l")
+@query(LI + f"SELECT d0, d1, d2, d3, {U('CASE WHEN l_discount = 0 THEN 0 ELSE 1 / l_discount END')} AS re FROM l")
 def invert_guard(spark, sf_dir):
     return cells(elementwise.invert(V.lineitem(spark, sf_dir, "l_discount")))
 
 
-@query(LI + f"SELECT d0, d1, d2, {U('0.5 * l_extendedprice + l_quantity', 3)} AS re FROM l")
+@query(LI + f"SELECT d0, d1, d2, d3, {U('0.5 * l_extendedprice + l_quantity', 3)} AS re FROM l")
 def saxpy_join(spark, sf_dir):
-    return cells(elementwise.saxpy(0.5, V.lineitem(spark, sf_dir, "l_extendedprice"), V.lineitem(spark, sf_dir, "l_quantity")), 3)
+    return cells(elementwise.saxpy(0.5, V.lineitem_pair(spark, sf_dir, "l_extendedprice", "l_quantity")), 3)
 
 
 @query(LI + f"SELECT d1, d2, {U('sum(l_extendedprice * (1 - l_discount))', 2)} AS re FROM l GROUP BY d1, d2")
 def fmac_contract(spark, sf_dir):
-    return cells(contract.fmac(V.lineitem(spark, sf_dir, "l_extendedprice"), V.lineitem(spark, sf_dir, "1 - l_discount"), squash=1), 2)
+    return cells(contract.fmac(V.lineitem_pair(spark, sf_dir, "l_extendedprice", "1 - l_discount"), squash=ROWS), 2)
 
 
 @query("WITH s AS (SELECT label, CAST(unnest(range(len(embedding))) AS INTEGER) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, k, sum(x) AS x FROM s GROUP BY 1, 2) SELECT CAST(a.label AS INTEGER) AS d0, CAST(b.label AS INTEGER) AS d2, " + U("sum(a.x * b.x)") + " AS re FROM m a JOIN m b USING (k) GROUP BY 1, 2")
@@ -178,18 +177,18 @@ def fmac_matmul(spark, sf_dir):
 
 @query(f"SELECT {U('sum(l_extendedprice * l_discount)', 2)} AS re FROM lineitem")
 def sdot_global(spark, sf_dir):
-    a = contract.fmac(V.lineitem(spark, sf_dir, "l_extendedprice"), V.lineitem(spark, sf_dir, "l_discount"), squash=7, conj=True)
-    return cells(a, 2)
+    z = reduce.sdot(V.lineitem_pair(spark, sf_dir, "l_extendedprice", "l_discount"))
+    return spark.range(1).select(unit(F.lit(z.real), 2).alias("re"))
 
 
-@query(LI + f"SELECT d1, d2, {U('sum(l_quantity) / (SELECT max(d0) + 1 FROM l)')} AS re FROM l GROUP BY d1, d2")
+@query(LI + f"SELECT d1, d2, {U('sum(l_quantity) * 1000 / (64 * (SELECT max(d3) + 1.0 FROM l))')} AS re FROM l GROUP BY d1, d2")
 def avg_flags(spark, sf_dir):
-    return cells(reduce.avg(V.lineitem(spark, sf_dir, "l_quantity"), 1))
+    return cells(elementwise.scale(reduce.avg(V.lineitem(spark, sf_dir, "l_quantity"), ROWS), 1000.0))
 
 
 @query(LI + f"SELECT d1, d2, {U('sum(l_discount) / count(*) FILTER (WHERE l_discount <> 0)', 6)} AS re FROM l GROUP BY d1, d2")
 def wavg_nonzero(spark, sf_dir):
-    return cells(reduce.avg(V.lineitem(spark, sf_dir, "l_discount"), 1, nonzero=True), 6)
+    return cells(reduce.avg(V.lineitem(spark, sf_dir, "l_discount"), ROWS, nonzero=True), 6)
 
 
 @query(EM + f"SELECT d1, {U('var_samp(x)', 8)} AS var, {U('stddev_samp(x)', 8)} AS std FROM m GROUP BY d1")
@@ -208,10 +207,9 @@ def normalize_l1(spark, sf_dir):
     return cells(elementwise.normalize(V.events(spark, sf_dir), 1, l1=True), 8)
 
 
-@query(EM + f"SELECT d1, {U('greatest(0, max(x))', 6)} AS top, {U('least(min(x), greatest(0, max(x)))', 6)} AS low FROM m WHERE d1 < 300 AND d1 IN (SELECT vec_id FROM embeddings) GROUP BY d1")
+@query(EM + f"SELECT d1, {U('greatest(0, max(x))', 6)} AS top, {U('least(min(x), greatest(0, max(x)))', 6)} AS low FROM m GROUP BY d1")
 def mip_max_min(spark, sf_dir):
     a = V.embeddings(spark, sf_dir)
-    a = ArrayFrame(a.df.where("d1 < 300"), a.replace_dims(d1=300))
     both = reduce.mip(a, 1).df.select("d1", unit("re", 6).alias("top")).join(reduce.mip(a, 1, minimum=True).df.select("d1", unit("re", 6).alias("low")), "d1")
     return both.join(a.df.select("d1").distinct(), "d1")
 
@@ -223,26 +221,20 @@ def hist_bins(spark, sf_dir):
 
 @query("WITH b AS (SELECT CAST(ceil(16 * (embedding[1]::DOUBLE + 0.5)) AS INTEGER) AS d0, CAST(ceil(16 * (embedding[2]::DOUBLE + 0.5)) AS INTEGER) AS d1 FROM embeddings) SELECT d0, d1, CAST(count(*) AS BIGINT) AS re FROM b WHERE d0 >= 0 AND d0 < 16 AND d1 >= 0 AND d1 < 16 GROUP BY 1, 2")
 def hist_2d(spark, sf_dir):
-    a = index.extract(V.embeddings(spark, sf_dir), 0, 0, 2)
-    t = a.df.groupBy("d1").agg(F.max(F.when(D("d0") == 0, D("re"))).alias("a"), F.max(F.when(D("d0") == 1, D("re"))).alias("b"))
-    b = [F.ceil(16 * (D(c) + 0.5)).cast("int").alias(n) for c, n in (("a", "d0"), ("b", "d1"))]
-    return t.select(*b).where("d0 between 0 and 15 and d1 between 0 and 15").groupBy("d0", "d1").agg(F.count(F.lit(1)).alias("re"))
+    return cells(reduce.hist(index.extract(V.embeddings(spark, sf_dir), 0, 0, 2), 0, 16), 0)
 
 
 @query(LI + f"SELECT d1, d2, count(*) AS n, {U('sum(l_quantity)', 2)} AS total, {U('avg(l_quantity)')} AS mean, {U('var_pop(l_quantity)')} AS var, {U('sum(l_quantity * l_quantity)', 2)} AS energy FROM l WHERE l_discount > 0.05 GROUP BY d1, d2")
 def roistat_mask(spark, sf_dir):
-    roi = V.lineitem(spark, sf_dir, "cast(l_discount > 0.05 as double)")
-    t = V.lineitem(spark, sf_dir, "l_quantity")
-    w = roi.df.where("re <> 0").select(*roi.keys)
-    s = t.df.join(w, t.keys, "left_semi").groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.sum("re").alias("s"), F.avg("re").alias("m"), F.var_pop("re").alias("v"), F.sum(D("re") ** 2).alias("e"))
-    return s.select("d1", "d2", "n", unit("s", 2).alias("total"), unit("m").alias("mean"), unit("v").alias("var"), unit("e", 2).alias("energy"))
+    both = V.lineitem_pair(spark, sf_dir, "l_discount > 0.05", "l_quantity")
+    s = reduce.roistat(both.first, both.second, by=0b110)
+    return s.select("d1", "d2", D("count").alias("n"), unit("sum", 2).alias("total"), unit("mean").alias("mean"), unit("var").alias("var"), unit("energy", 2).alias("energy"))
 
 
-@query(f"SELECT {U('sqrt(sum(power(l_extendedprice - 1400 * l_quantity, 2)) / sum(l_extendedprice * l_extendedprice))', 6)} AS nrmse, {U('avg(power(l_extendedprice - 1400 * l_quantity, 2))', 0)} // 1000 AS mse FROM lineitem")
+@query(f"SELECT {U('sqrt(sum(power(l_extendedprice - 1400 * l_quantity, 2)) / sum(l_extendedprice * l_extendedprice))', 6)} AS nrmse, {U('sum(power(l_extendedprice - 1400 * l_quantity, 2)) / (64 * 6 * (SELECT max(l_orderkey) + 1.0 FROM lineitem))', 0)} // 1000 AS mse FROM lineitem")
 def nrmse_measure(spark, sf_dir):
-    p = reduce.paired(V.lineitem(spark, sf_dir, "l_extendedprice"), V.lineitem(spark, sf_dir, "1400 * l_quantity"))
-    d = (D("re") - D("re2")) ** 2
-    return p.agg(F.sum(d).alias("d"), F.sum(D("re") ** 2).alias("r"), F.avg(d).alias("m")).select(unit(F.sqrt(D("d") / D("r")), 6).alias("nrmse"), F.expr("cast(floor(m + 0.5) as bigint) div 1000").alias("mse"))
+    p = V.lineitem_pair(spark, sf_dir, "l_extendedprice", "1400 * l_quantity")
+    return spark.range(1).select(unit(F.lit(reduce.nrmse(p)), 6).alias("nrmse"), F.lit(int(reduce.measure(p)["mse"] + 0.5) // 1000).cast("long").alias("mse"))
 
 
 @query(f"SELECT CAST(l_suppkey AS INTEGER) AS d1, CAST(max(CASE WHEN l_tax <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS re FROM lineitem GROUP BY 1")
@@ -289,9 +281,9 @@ def bdiff_zero(spark, sf_dir):
     return cells(window.backward_difference(V.events(spark, sf_dir), 0, zero=True), 3)
 
 
-@query(LI + ", r AS (SELECT *, row_number() OVER (PARTITION BY d1, d2 ORDER BY l_quantity DESC) AS r FROM l), t AS (SELECT d1, d2, max(l_quantity) FILTER (WHERE r = 101) AS lim FROM r GROUP BY 1, 2) SELECT d0, d1, d2, CAST(l_quantity > coalesce(lim, 0) AS BIGINT) AS re FROM l JOIN t USING (d1, d2)")
+@query(LI + ", r AS (SELECT *, row_number() OVER (PARTITION BY d1, d2 ORDER BY l_quantity DESC) AS r FROM l), t AS (SELECT d1, d2, max(l_quantity) FILTER (WHERE r = 101) AS lim FROM r GROUP BY 1, 2) SELECT d0, d1, d2, d3, CAST(l_quantity > coalesce(lim, 0) AS BIGINT) AS re FROM l JOIN t USING (d1, d2)")
 def topk_mask(spark, sf_dir):
-    return cells(elementwise.top_k_mask(V.lineitem(spark, sf_dir, "l_quantity"), 100, 1), 0)
+    return cells(elementwise.top_k_mask(V.lineitem(spark, sf_dir, "l_quantity"), 100, ROWS), 0)
 
 
 @query(CU + f"SELECT d0, {U('sign(x) * greatest(abs(x) - 1000, 0)', 2)} AS re FROM c")
@@ -313,17 +305,11 @@ def hard_binary_threshold(spark, sf_dir):
 @query("WITH e AS (SELECT event_id, value, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS d1 FROM events) SELECT CAST(row_number() OVER (PARTITION BY d1 ORDER BY event_id) - 1 AS INTEGER) AS d0, d1, " + U("value") + " AS re FROM e")
 def bin_label(spark, sf_dir):
     t = V.table(spark, sf_dir, "events")
-    codes = t.select("event_type").distinct()
-    from pyspark.sql import Window
-
-    codes = codes.withColumn("code", F.row_number().over(Window.orderBy("event_type")) - 1)
-    t = t.join(F.broadcast(codes), "event_type")
+    kinds = F.array(*(F.lit(r[0]) for r in t.select("event_type").distinct().orderBy("event_type").collect()))  # a few
     a = V.as_array(t.select("event_id", F.col("value").alias("re")), d0="event_id")
-    labels = V.as_array(t.select("event_id", F.col("code").cast("double").alias("re")), d0="event_id")
-    labels = ArrayFrame(labels.df, labels.dims)
-    w = Window.partitionBy("re").orderBy("d0")
-    lab = labels.df.select("d0", F.col("re").cast("int").alias("d1"), (F.row_number().over(w) - 1).alias("n"))
-    return a.df.join(lab, "d0").select(F.col("n").alias("d0"), "d1", unit("re").alias("re"))
+    labels = V.as_array(t.select("event_id", F.array_position(kinds, D("event_type")).cast("double").alias("re")), d0="event_id")
+    found = window.bin_labels(a, labels, 0, 1)
+    return found.df.where("d1 > 0").select("d0", (D("d1") - 1).cast("int").alias("d1"), unit("re").alias("re"))
 
 
 @query(PG + f"SELECT q.d0, {U('p.x', 2)} AS re FROM (SELECT d0, (d0 * 7) % 50 AS s FROM p) q JOIN p ON p.d0 = q.s")
@@ -336,21 +322,19 @@ def bin_reorder(spark, sf_dir):
 @query("SELECT CAST(vec_id AS INTEGER) AS d0, CAST(i AS INTEGER) AS d1, CAST(i = label AS BIGINT) AS re FROM embeddings, range((SELECT max(label) + 1 FROM embeddings)) t(i) WHERE i = label")
 def onehot_encode(spark, sf_dir):
     t = V.table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("double").alias("re"))
-    n = int(t.agg(F.max("re")).first()[0]) + 1
-    a = V.as_array(t, d0="vec_id")
-    return ArrayFrame.of(a.df.select("d0", D("re").cast("int").alias("d1"), F.lit(1.0).alias("re"), "im"), [a.dims[0], n]).df.select("d0", "d1", D("re").cast("long").alias("re"))
+    return cells(reduce.onehotenc(V.as_array(t, d0="vec_id"), 1), 0)
 
 
 @query("SELECT CAST(vec_id AS INTEGER) AS d1, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS re FROM embeddings")
 def onehot_decode_argmax(spark, sf_dir):
-    a = V.embeddings(spark, sf_dir)
-    best = a.df.groupBy("d1").agg(F.max(F.struct("re", (-D("d0")).alias("i"))).alias("m"))
-    return best.select("d1", (-D("m.i")).cast("long").alias("re"))
+    return cells(reduce.onehotdec(V.embeddings(spark, sf_dir), 0), 0)
 
 
-@query("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2")
+@query("SELECT CAST(quality AS INTEGER) AS d0, CAST(toxic AS INTEGER) AS d1, count(*) AS re FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY 1, 2")
 def confusion_matrix(spark, sf_dir):
-    return V.table(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
+    t = V.table(spark, sf_dir, "labels").where("quality is not null and toxic is not null").select("doc_id", D("quality").cast("double").alias("a"), D("toxic").cast("double").alias("b"))
+    a, b = (V.as_array(t.select("doc_id", D(c).alias("re")), d0="doc_id") for c in "ab")
+    return cells(reduce.confusion(a, b, 2), 0)
 
 
 @query(PG + f"SELECT CAST(p.d0 - w AS INTEGER) AS d0, CAST(w AS INTEGER) AS d1, {U('x', 2)} AS re FROM p, range(5) t(w) WHERE p.d0 - w BETWEEN 0 AND 45")
@@ -404,14 +388,17 @@ def grid_affine(spark, sf_dir):
 @query(LI + f"SELECT d1, d2, {U('sum(l_quantity)', 2)} AS total FROM l GROUP BY GROUPING SETS ((d1, d2), (d1), ())")
 def reduce_sets(spark, sf_dir):
     a = V.lineitem(spark, sf_dir, "l_quantity")
-    return reduce.reduce_sets(a, [1, 5, 7]).select("d1", "d2", unit("re", 2).alias("total"))
+    return reduce.reduce_sets(a, [ROWS, ROWS | 4, ROWS | 6]).select("d1", "d2", unit("re", 2).alias("total"))
 
 
 @query("SELECT k, n FROM (SELECT 'union' AS k, count(*) AS n FROM (SELECT c_custkey FROM customer UNION SELECT o_custkey FROM orders) UNION ALL SELECT 'intersect', count(*) FROM (SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders) UNION ALL SELECT 'except', count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders))")
 def set_union_intersect_except(spark, sf_dir):
-    c, o = V.table(spark, sf_dir, "customer").select("c_custkey"), V.table(spark, sf_dir, "orders").select("o_custkey")
-    n = lambda df, k: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("k"), "n")
-    return n(c.union(o).distinct(), "union").union(n(c.intersect(o), "intersect")).union(n(c.subtract(o), "except"))
+    t = V.table(spark, sf_dir, "customer").select("c_custkey").union(V.table(spark, sf_dir, "orders").select("o_custkey"))
+    size = int(t.agg(F.max("c_custkey")).first()[0]) + 1
+    mask = lambda name, c: ArrayFrame.of(V.table(spark, sf_dir, name).select(D(c).alias("d0")).distinct().withColumns({"re": F.lit(1.0), "im": F.lit(0.0)}), [size])
+    c, o = mask("customer", "c_custkey"), mask("orders", "o_custkey")
+    n = lambda a, k: a.df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("k"), "n")
+    return n(reduce.union(c, o), "union").union(n(reduce.intersect(c, o), "intersect")).union(n(reduce.subtract(c, o), "except"))
 
 
 @query(f"SELECT time_bucket(INTERVAL 5 minutes, ts) AS start, count(*) AS n, {U('avg(value)')} AS mean FROM events GROUP BY 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..frame import ArrayFrame
+from ..frame import ArrayFrame, ArrayPair, key_type, normalise_dims
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +23,29 @@ def as_array(df: DataFrame, **columns: str) -> ArrayFrame:
     return ArrayFrame.of(df.select(*(F.col(c).cast("int").alias(k) for k, c in columns.items()), "re", "im"), dims)
 
 
-def lineitem(spark, sf_dir, value: str) -> ArrayFrame:
-    """d0: row in its group, d1: return flag (A, N, R), d2: line status (F, O)."""
+#: Rows of one order with one flag and status that the view has room for.
+SLOTS = 64
+
+
+def _lineitem(spark, sf_dir, *values):
+    """d0: row among those of its order, flag and status; d1: return flag (A, N, R); d2: line status (F, O); d3: order."""
     t = table(spark, sf_dir, "lineitem")
-    w = Window.partitionBy("l_returnflag", "l_linestatus").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    t = t.select((F.row_number().over(w) - 1).alias("a"), F.expr("instr('ANR', l_returnflag) - 1").alias("b"), F.expr("instr('FO', l_linestatus) - 1").alias("c"), F.expr(value).alias("re"))
-    return as_array(t, d0="a", d1="b", d2="c")
+    orders = max(2, int(t.agg(F.max("l_orderkey")).first()[0] or 0) + 1)
+    w = Window.partitionBy("l_orderkey", "l_returnflag", "l_linestatus").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    keys = [(F.row_number().over(w) - 1).alias("d0"), F.expr("instr('ANR', l_returnflag) - 1").alias("d1"), F.expr("instr('FO', l_linestatus) - 1").alias("d2"), F.col("l_orderkey").cast(key_type(orders)).alias("d3")]
+    cols = [F.expr(f"cast({v} as double)").alias(c) for v, c in zip(values, ("re", "re2"), strict=False)]
+    return t.select(*keys, *cols), normalise_dims([SLOTS, 3, 2, orders])
+
+
+def lineitem(spark, sf_dir, value: str) -> ArrayFrame:
+    df, dims = _lineitem(spark, sf_dir, value)
+    return ArrayFrame(df.withColumn("im", F.lit(0.0)), dims)
+
+
+def lineitem_pair(spark, sf_dir, first: str, second: str) -> ArrayPair:
+    """Two values of the rows of lineitem."""
+    df, dims = _lineitem(spark, sf_dir, first, second)
+    return ArrayPair(df.withColumns({"im": F.lit(0.0), "im2": F.lit(0.0)}), dims)
 
 
 def embeddings(spark, sf_dir) -> ArrayFrame:
