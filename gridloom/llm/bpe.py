@@ -67,7 +67,7 @@ class _Fragments(dict):
 class ForcedBoundaryBpe:
     """most: bytes of remembered fragments in each generation of its two stores."""
 
-    def __init__(self, path: str, most: int = 48 << 20):
+    def __init__(self, path: str, most: int = 20 << 20):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:

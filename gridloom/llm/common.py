@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -73,8 +74,17 @@ def release(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+@functools.cache
+def _trim():
+    """The C library's call that gives free memory back, or None where there is none."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return None
+
+
 def tidy(work):
-    """For functions over batches: when one ends, Arrow gives back what it holds for later, as Python workers live on."""
+    """For functions over batches: when one ends, Arrow and the C library give back what they hold for later, as Python workers live on."""
 
     @functools.wraps(work)
     def run(*args, **kwargs):
@@ -82,6 +92,8 @@ def tidy(work):
             yield from work(*args, **kwargs)
         finally:
             pa.default_memory_pool().release_unused()
+            if (trim := _trim()) is not None:
+                trim(0)
 
     return run
 

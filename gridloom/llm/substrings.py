@@ -51,7 +51,7 @@ _M64 = (1 << 64) - 1
 class WordNames(dict):
     """Two independent hashes of words (names and checks), remembered for about as many as MOST."""
 
-    MOST = 200_000
+    MOST = 100_000
 
     def __init__(self):
         self.hashes = array("Q"), array("Q")
@@ -75,7 +75,7 @@ class WordNames(dict):
 class Seen:
     """Hashes that a task has met. Beyond MOST they are forgotten, and sent again: more rows, the same result."""
 
-    MOST = 4_000_000
+    MOST = 1_000_000
 
     def __init__(self):
         self.runs: list[np.ndarray] = []

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch, tidy
+from .common import Scratch, batch, blocks, tidy
 
 #: Labelled documents that a fit sees at most.
 MAX_LABELLED = 10_000
@@ -140,7 +140,7 @@ def entries_of(word: str):
 class Symbols(dict):
     """Word -> (kinds, weight), from weights of entries and the lexicon; words of usual length are remembered up to MOST."""
 
-    MOST, USUAL = 300_000, 32
+    MOST, USUAL = 100_000, 32
 
     def __init__(self, entries: dict[str, float], lexicon: dict):
         self.entries, self.lexicon = entries, lexicon
@@ -244,7 +244,7 @@ _COUNTS = pa.schema([("entry", pa.string()), ("half", pa.int8()), ("y", pa.int8(
 @tidy
 def _counts(batches):
     """(entry, half, label, documents) of a batch; half halves the labelled documents. An empty entry counts all."""
-    for b in batches:
+    for b in blocks(batches, 0):
         found: dict[tuple, Counter] = {}
         for text, y, half in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
             c = found.setdefault((half, y), Counter())
@@ -259,7 +259,7 @@ _FEATURES = pa.schema([("y", pa.int8()), ("x", pa.list_(pa.float64()))])
 
 @tidy
 def _features(batches, grammars):
-    for b in batches:
+    for b in blocks(batches, 0):
         rows = [(y, grammars[half].features(text or "")) for text, y, half in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)]
         if rows:
             yield batch(_FEATURES, *zip(*rows, strict=True))

@@ -50,7 +50,7 @@ def test_repeated_rows_under_one_id_and_empty_table(spark):
 def test_a_task_tells_of_every_hash_that_it_meets_again(monkeypatch):
     """Whatever a task forgets: of a hash that it meets twice, a row that says so is sent, and others are known or sent."""
     rng = np.random.default_rng(1)
-    for most in (4_000_000, 20):
+    for most in (1_000_000, 20):
         monkeypatch.setattr(substrings.Seen, "MOST", most)
         repeats, blocks, sent = substrings.Repeats(), [rng.integers(0, 300, 50).astype(np.int64) for _ in range(60)], []
         for b in blocks:
