@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frame import ArrayFrame, flag_dims, normalise_dims
+from . import algorithms as A
 from .index import repmat
 from .kernels import BLOCK_CELLS, blockwise, by
 
@@ -22,7 +23,7 @@ def together(inputs: list[ArrayFrame], flags: int, kernel: Callable[..., np.ndar
     """kernel over the flagged dimensions of several arrays, for each index of the others; size 1 is repeated over a loop."""
     dims = normalise_dims(dims)
     loops = [k for k in range(16) if not flags >> k & 1 and max(a.dims[k] for a in inputs) > 1]
-    own = [k for k in flag_dims(flags) if max([a.dims[k] for a in inputs] + [dims[k]]) > 1]
+    own = [k for k in flag_dims(flags) if max([a.dims[k] for a in inputs] + [dims[k]]) > 1 or k == 3]  # one coil is an axis as well
     shapes, parts = [], None
     for i, a in enumerate(inputs):
         shapes.append([a.dims[k] for k in own])
@@ -62,19 +63,7 @@ def _axes(kspace: ArrayFrame) -> tuple[tuple[int, ...], int]:
     return tuple(i for i, k in enumerate(own) if k < 3), own.index(3)
 
 
-def conjugate_gradients(normal, b: np.ndarray, iterations: int, tolerance: float = 1e-9) -> np.ndarray:
-    x, r = np.zeros_like(b), b.copy()
-    p, rr = r.copy(), np.vdot(r, r).real
-    first = rr
-    for _ in range(iterations):
-        if rr <= tolerance**2 * first or rr == 0:
-            break
-        q = normal(p)
-        step = rr / np.vdot(p, q).real
-        x, r = x + step * p, r - step * q
-        new = np.vdot(r, r).real
-        p, rr = r + (new / rr) * p, new
-    return x
+conjugate_gradients = A.conjugate_gradients
 
 
 def _haar(x, inverse=False, levels=3):
@@ -145,6 +134,104 @@ def pics(kspace: ArrayFrame, sens: ArrayFrame, regularisation: str = "l2", level
     return together([kspace, sens] + ([pattern] if pattern is not None else []), IMAGE | COIL, kernel, kspace.replace_dims(d3=1))
 
 
+def low_rank_blocks(x, level: float, size: int, axes):
+    """Soft singular values of every block of `size` cells a side over the image axes, as (cells, all other axes)."""
+    x = x.copy()
+    steps = [range(0, x.shape[ax], size) if x.shape[ax] > 1 else (0,) for ax in axes]
+    for start in np.array(np.meshgrid(*steps, indexing="ij")).reshape(len(axes), -1).T:
+        at = [slice(None)] * x.ndim
+        for ax, i in zip(axes, start, strict=True):
+            at[ax] = slice(i, i + size)
+        block = x[tuple(at)]
+        order = [*axes, *(i for i in range(x.ndim) if i not in axes)]
+        turned = block.transpose(order)
+        m = turned.reshape(int(np.prod(turned.shape[: len(axes)])), -1)
+        u, w, vh = np.linalg.svd(m, full_matrices=False)
+        x[tuple(at)] = ((u * np.maximum(w - level, 0)) @ vh).reshape(turned.shape).transpose(np.argsort(order))
+    return x
+
+
+def _keep_largest(x, k: int):
+    r = np.abs(x).ravel()
+    return x if k >= r.size else np.where(np.abs(x) > np.partition(r, r.size - k - 1)[r.size - k - 1], x, 0)
+
+
+def penalty(code: str, level: float, axes, block: int = 8):
+    """(transform, its adjoint, prox(v, step)) of a penalty: I l1, Q l2, W wavelet l1, H and N the k largest (of wavelets, of the image),
+    T total variation, G second-order, C two parts, F l1 of the spectrum, L locally low rank, M the same at several sizes,
+    R1 and R2 l1 and l2 of the imaginary part, S real and not negative."""
+    same = lambda x: x
+    diff = lambda x: np.stack([np.roll(x, -1, ax) - x for ax in axes if x.shape[ax] > 1])
+    back = lambda p: sum(np.roll(q, 1, ax) - q for q, ax in zip(p, [ax for ax in axes if p.shape[ax + 1] > 1], strict=True))
+    wav, unwav = _haar, lambda x: _haar(x, inverse=True)
+    imaginary = lambda f: lambda v, t: v.real + 1j * f(v.imag, level * t)
+
+    def joint(v, t):
+        r = np.sqrt((np.abs(v) ** 2).sum(0))
+        return v * np.maximum(0, 1 - level * t / np.maximum(r, 1e-300))
+
+    def scales(v, t):
+        sizes = [block * 2**k for k in range(3)]
+        return sum(low_rank_blocks(v, level * t, s, axes) for s in sizes) / len(sizes)
+
+    return {
+        "I": (same, same, lambda v, t: soft(v, level * t)),
+        "Q": (same, same, lambda v, t: v / (1 + level * t)),
+        "W": (wav, unwav, lambda v, t: soft(v, level * t)),
+        "H": (wav, unwav, lambda v, t: _keep_largest(v, int(level))),
+        "N": (same, same, lambda v, t: _keep_largest(v, int(level))),
+        "T": (diff, back, joint),
+        "G": (same, same, lambda v, t: second_order_variation(v, level * t, iterations=50)),
+        "C": (same, same, lambda v, t: two_part_variation(v, level * t, level * t, iterations=50)),
+        "F": (lambda x: np.fft.fftn(x, axes=axes, norm="ortho"), lambda x: np.fft.ifftn(x, axes=axes, norm="ortho"), lambda v, t: soft(v, level * t)),
+        "L": (same, same, lambda v, t: low_rank_blocks(v, level * t, block, axes)),
+        "M": (same, same, scales),
+        "R1": (same, same, imaginary(lambda x, t: np.sign(x) * np.maximum(np.abs(x) - t, 0))),
+        "R2": (same, same, imaginary(lambda x, t: x / (1 + t))),
+        "S": (same, same, lambda v, t: np.maximum(v.real, 0) + 0j),
+    }[code]
+
+
+def pics_penalties(kspace: ArrayFrame, sens: ArrayFrame, penalties: list[tuple[str, float]], solver: str = "admm", iterations: int = 50, rho: float = 0.5, joint: int = 0, pattern: ArrayFrame | None = None) -> ArrayFrame:
+    """Image of undersampled coil data under several penalties (code, level) at once, by admm or primal-dual steps ("pridu"), or one of them by fista or ist.
+
+    joint: further dimensions (frames) that are solved together, for the low-rank penalties."""
+    if solver not in ("admm", "pridu", "fista", "ist"):
+        raise ValueError(f"unknown solver {solver}")
+    if solver in ("fista", "ist") and len(penalties) != 1:
+        raise ValueError("fista and ist take one penalty")
+    axes, coil = _axes(kspace)
+
+    def kernel(y, s, mask=None):
+        extra = y.ndim - s.ndim
+        s = s.reshape(*s.shape, *[1] * extra) if extra > 0 else s
+        mask = (np.abs(y).max(coil, keepdims=True) > 0) if mask is None else np.abs(mask) > 0
+        adjoint = lambda r: (s.conj() * _f(mask * r, axes, inverse=True)).sum(coil, keepdims=True)
+        normal = lambda x: adjoint(_f(s * x, axes))
+        b = adjoint(y)
+        terms = [penalty(code, level, axes) for code, level in penalties]
+        if solver == "admm":
+            return A.admm(normal, b, terms, 0 * b, rho, iterations)
+        bound = max((np.abs(s) ** 2).sum(coil).max(), 1e-300)
+        if solver == "pridu":
+            # the data term by its gradient (Condat's form): all penalties are dual
+            tau = 0.9 / (bound / 2 + sum(4.0 * max(1, len(axes)) for _ in terms))
+            x, p = 0 * b, [0 * t(b) for t, _, _ in terms]
+            for _ in range(iterations):
+                new = x - tau * (normal(x) - b + sum(back(q) for (_, back, _), q in zip(terms, p, strict=True)))
+                bar, x = 2 * new - x, new
+                for i, (t, _, prox) in enumerate(terms):
+                    v = p[i] + t(bar)
+                    p[i] = v - prox(v, 1.0)
+            return x
+        t, back, prox = terms[0]
+        solve = A.fista if solver == "fista" else A.ist
+        return solve(lambda x: normal(x) - b, lambda x, step: back(prox(t(x), step)), 0 * b, 1 / bound, iterations)
+
+    inputs = [kspace, sens] + ([pattern] if pattern is not None else [])
+    return together(inputs, IMAGE | COIL | joint, kernel, kspace.replace_dims(d3=1))
+
+
 def itsense(alpha: float, sens: ArrayFrame, kspace: ArrayFrame, pattern: ArrayFrame, iterations: int = 50) -> ArrayFrame:
     return pics(kspace, sens, "l2", alpha, iterations, pattern)
 
@@ -168,27 +255,52 @@ def denoise(a: ArrayFrame, kind: str = "tv", level: float = 0.1, flags: int = IM
     return blockwise(a, flags, lambda x: PROX[kind](x, level))
 
 
+def second_order_variation(f, level: float, ratio: float = 2.0, iterations: int = 200):
+    """Second-order total generalised variation of one block by primal-dual steps."""
+    axes = [i for i, n in enumerate(f.shape) if n > 1]
+    d = lambda u: np.stack([np.roll(u, -1, ax) - u for ax in axes])
+    dt = lambda p: sum(np.roll(q, 1, ax) - q for q, ax in zip(p, axes, strict=True))
+    sym = lambda e: (e + e.swapaxes(0, 1)) / 2
+    shrink = lambda p, r: p / np.maximum(1, np.sqrt((np.abs(p) ** 2).sum(tuple(range(p.ndim - f.ndim)))) / r)
+    u, w = f.copy(), np.zeros((len(axes), *f.shape), complex)
+    ub, wb, p, q = u, w, np.zeros_like(w), np.zeros((len(axes), *w.shape), complex)
+    step = 1 / np.sqrt(4 * len(axes) + 5)
+    for _ in range(iterations):
+        p = shrink(p + step * (d(ub) - wb), level)
+        q = shrink(q + step * sym(np.stack([d(x) for x in wb])), ratio * level)
+        u2 = (u - step * dt(p) + step * f) / (1 + step)
+        w2 = w + step * (p - np.stack([dt(x) for x in q]))
+        ub, wb, u, w = 2 * u2 - u, 2 * w2 - w, u2, w2
+    return u
+
+
 def tgv(a: ArrayFrame, level: float, flags: int = 3, ratio: float = 2.0, iterations: int = 200) -> ArrayFrame:
-    """Second-order total generalised variation by primal-dual steps."""
-
-    def kernel(f):
-        axes = [i for i, n in enumerate(f.shape) if n > 1]
-        d = lambda u: np.stack([np.roll(u, -1, ax) - u for ax in axes])
-        dt = lambda p: sum(np.roll(q, 1, ax) - q for q, ax in zip(p, axes, strict=True))
-        sym = lambda e: (e + e.swapaxes(0, 1)) / 2
-        shrink = lambda p, r: p / np.maximum(1, np.sqrt((np.abs(p) ** 2).sum(tuple(range(p.ndim - f.ndim)))) / r)
-        u, w = f.copy(), np.zeros((len(axes), *f.shape), complex)
-        ub, wb, p, q = u, w, np.zeros_like(w), np.zeros((len(axes), *w.shape), complex)
-        step = 1 / np.sqrt(4 * len(axes) + 5)
-        for _ in range(iterations):
-            p = shrink(p + step * (d(ub) - wb), level)
-            q = shrink(q + step * sym(np.stack([d(x) for x in wb])), ratio * level)
-            u2 = (u - step * dt(p) + step * f) / (1 + step)
-            w2 = w + step * (p - np.stack([dt(x) for x in q]))
-            ub, wb, u, w = 2 * u2 - u, 2 * w2 - w, u2, w2
-        return u
-
-    return blockwise(a, flags, kernel)
+    """Denoising by second-order total generalised variation."""
+    return blockwise(a, flags, lambda f: second_order_variation(f, level, ratio, iterations))
+
+
+def two_part_variation(f, level1: float, level2: float, weight: float = 4.0, iterations: int = 300):
+    """A sum of two parts near f, one of small variation mainly along the first dimension, one along the others."""
+    axes = [i for i, n in enumerate(f.shape) if n > 1]
+    factors = [np.array([weight if i == 0 else 1.0 for i in range(len(axes))]), np.array([1.0 if i == 0 else weight for i in range(len(axes))])]
+    grad = lambda u, c: np.stack([k * (np.roll(u, -1, ax) - u) for k, ax in zip(c, axes, strict=True)])
+    back = lambda p, c: sum(k * (np.roll(q, 1, ax) - q) for k, q, ax in zip(c, p, axes, strict=True))
+    shrink = lambda p, r: p / np.maximum(1, np.sqrt((np.abs(p) ** 2).sum(0)) / r)
+    u = [f / 2, f / 2]
+    bar, p = list(u), [np.zeros((len(axes), *f.shape), complex) for _ in u]
+    step = 1 / np.sqrt(4 * len(axes) * weight**2 + 2)
+    for _ in range(iterations):
+        p = [shrink(q + step * grad(b, c), lv) for q, b, c, lv in zip(p, bar, factors, (level1, level2), strict=True)]
+        new = [x - step * back(q, c) for x, q, c in zip(u, p, factors, strict=True)]
+        off = (new[0] + new[1] - f) * step / (1 + 2 * step)
+        new = [x - off for x in new]
+        bar, u = [2 * n - o for n, o in zip(new, u, strict=True)], new
+    return u[0] + u[1]
+
+
+def ictv(a: ArrayFrame, level1: float, level2: float, flags: int = 3, weight: float = 4.0, iterations: int = 300) -> ArrayFrame:
+    """Denoising by infimal convolution of two total variations."""
+    return blockwise(a, flags, lambda f: two_part_variation(f, level1, level2, weight, iterations))
 
 
 def lrmatrix(a: ArrayFrame, rows: int, columns: int, rank_level: float, iterations: int = 100) -> ArrayFrame:
