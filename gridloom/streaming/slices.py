@@ -12,7 +12,12 @@ from ..frame import ArrayFrame
 
 
 def read_slices(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """A stream of the Parquet files in a folder, or of one file."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
 
 
 def loop(stream: DataFrame, dims, tool: Callable[[ArrayFrame], ArrayFrame], sink: str, checkpoint: str):

@@ -7,7 +7,7 @@ import sys
 
 import duckdb
 import pytest
-from gridloom.plans import catalog
+from gridloom.plans import catalog, more  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 
