@@ -42,7 +42,7 @@ RUN_CAP, PAIR_CAPS, NAME_CAP = 1, (1, 1, 2), 4
 CONTEXT = RUN_CAP + sum(PAIR_CAPS) + NAME_CAP
 
 #: Rows of one anchor from which on its windows are compared one by one, dealt by digest.
-MANY = 4096
+MANY = 512
 
 _ODD = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
