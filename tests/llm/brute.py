@@ -62,6 +62,37 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a or b else 1.0
 
 
+def near_pairs(texts, similarity=0.8, words=5):
+    """Pairs of documents (a dict of texts) whose sets of shingles are at least that similar, with the similarity."""
+    sets = {i: shingles(t, words) for i, t in texts.items()}
+    holders = {}
+    for i, s in sets.items():
+        for x in s or {None}:
+            holders.setdefault(x, []).append(i)
+    common = Counter()
+    for ids in holders.values():
+        common.update(itertools.combinations(sorted(ids), 2))
+    for (a, b), n in common.items():
+        j = n / (len(sets[a]) + len(sets[b]) - n) if sets[a] or sets[b] else 1.0
+        if j >= similarity:
+            yield a, b, j
+
+
+def near_groups(texts, similarity=0.8, words=5):
+    """The smallest document that links reach, for each."""
+    least = {i: i for i in texts}
+
+    def find(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for a, b, _ in near_pairs(texts, similarity, words):
+        a, b = find(a), find(b)
+        least[max(a, b)] = min(a, b)
+    return {i: find(i) for i in texts}
+
+
 def repeats(rows, window=35):
     split = [WORD.findall(t or "") for t in rows]
     seen = Counter(tuple(w[i : i + window]) for w in split for i in range(len(w) - window + 1))

@@ -1,6 +1,6 @@
 import brute
 import corpus_pipeline
-from gridloom.llm import simhash, toxicity
+from gridloom.llm import toxicity
 from gridloom.llm.common import Scratch
 
 
@@ -16,8 +16,7 @@ def test_stages_against_brute_force(spark):
     model = toxicity.fit(spark, seen[0], spark.read.parquet(f"{d}/labels.parquet").where(~toxicity.held_out(toxicity.F.col("doc_id"))))
     assert texts[1] == {i: t for i, t in texts[0].items() if model.score(t or "") < 0.5}
     assert texts[2] == {r[0]: texts[1][r[0]] for r in brute.exact(texts[1].items()) if r[3]}
-    groups = simhash.near_duplicate_groups(spark, seen[2]).collect()
-    assert set(texts[3]) == {r.doc_id for r in groups if r.doc_id == r.component_id}
+    assert set(texts[3]) == {i for i, g in brute.near_groups(texts[2]).items() if i == g}
     ids = sorted(texts[3])
     for i, (n, gone, sha) in zip(ids, brute.repeats([texts[3][i] for i in ids]), strict=True):
         assert (i in texts[4]) == (n == 0 or gone < n)
@@ -51,3 +50,13 @@ def test_near_stage_keeps_one_row_of_one_id(spark):
     docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.near_stage(spark, docs, "").collect()
     assert sorted(r.doc_id for r in got) == [7, 9]
+
+
+def test_empty_table_and_further_columns(spark):
+    docs = spark.createDataFrame([(1, "some words here", "en", "s", 15, "x", 7)], "doc_id long, text string, lang string, source string, n_chars long, row string, rid long")
+    for rows, want in ((docs, [1]), (docs.limit(0), [])):
+        work, now = Scratch(spark, "test"), rows
+        for name, stage in corpus_pipeline.STAGES[1:4]:
+            now = work.write(stage(spark, now, ""), name.replace(" ", "-"))
+            assert now.columns == list(corpus_pipeline.COLUMNS) and [r.doc_id for r in now.collect()] == want
+        assert len({r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, now, "").collect()}) == len(want)

@@ -155,3 +155,17 @@ def test_blocks_lose_no_link(spark, monkeypatch, anchors):
     links = grouped.group_links(spark, df, lambda x: x.withColumn("x", x.id), near, 10, work, "t")
     roots = {r.v: r.root for r in grouped.connected_components(spark, links, work, "all").collect()}
     assert roots == {x: c[0] for c in chains.values() for x in c}
+
+
+def test_recall_of_near_pairs_in_documents(spark):
+    """Of all pairs of documents of a similarity of 0.8 or more, compared one by one, at least 95 of 100 are linked, also of those below 0.85; no group joins what links do not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(spark, docs).collect()}
+    pairs = list(brute.near_pairs(texts))
+    for top in (0.85, 1.01):
+        own = [got[a] == got[b] for a, b, j in pairs if j < top]
+        assert sum(own) >= 0.95 * len(own), (top, sum(own), len(own))
+    want = brute.near_groups(texts)
+    assert all(want[i] == want[g] for i, g in got.items())
+    print("recall", [(top, sum(got[a] == got[b] for a, b, j in pairs if j < top), sum(j < top for *_, j in pairs)) for top in (0.85, 1.01)])
