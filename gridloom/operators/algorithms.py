@@ -338,4 +338,27 @@ def lbfgs(value, gradient, start, iterations: int, memory: int = 8):
     return x
 
 
-ALGORITHMS = {f.__name__: f for f in (conjugate_gradients, batched_cg, lsqr, landweber, ist, fista, niht, euler_maruyama, power_iteration, irgnm, irgnm2, levenberg_marquardt, alternating, pocs, chambolle_pock, admm, lad, batches, sgd, adam, adadelta, ipalm, lbfgs)}
+# The embedded Runge-Kutta pair of Dormand and Prince (stages, weights of order five, of order four).
+_STAGES = ((), (1 / 5,), (3 / 40, 9 / 40), (44 / 45, -56 / 15, 32 / 9), (19372 / 6561, -25360 / 2187, 64448 / 6561, -212 / 729), (9017 / 3168, -355 / 33, 46732 / 5247, 49 / 176, -5103 / 18656), (35 / 384, 0, 500 / 1113, 125 / 192, -2187 / 6784, 11 / 84))
+_FIFTH = (35 / 384, 0, 500 / 1113, 125 / 192, -2187 / 6784, 11 / 84, 0)
+_FOURTH = (5179 / 57600, 0, 7571 / 16695, 393 / 640, -92097 / 339200, 187 / 2100, 1 / 40)
+
+
+def ode(f, start: np.ndarray, begin: float, end: float, tolerance: float = 1e-6, step: float | None = None) -> np.ndarray:
+    """The state at `end` of x' = f(t, x), with steps as long as the tolerance allows."""
+    t, x = begin, np.array(start)
+    h = step or (end - begin) / 100
+    while t < end:
+        h = min(h, end - t)
+        k = []
+        for row in _STAGES:
+            k.append(f(t + h * sum(row), x + h * sum((a * b for a, b in zip(row, k, strict=True)), 0 * x)))
+        better = x + h * sum(a * b for a, b in zip(_FIFTH, k, strict=True))
+        error = float(np.abs(better - x - h * sum(a * b for a, b in zip(_FOURTH, k, strict=True))).max())
+        if error <= tolerance or h < 1e-14 * max(1.0, abs(end)):
+            t, x = t + h, better
+        h *= min(5.0, max(0.2, 0.9 * (tolerance / error) ** 0.2 if error else 5.0))
+    return x
+
+
+ALGORITHMS = {f.__name__: f for f in (conjugate_gradients, batched_cg, lsqr, landweber, ist, fista, niht, euler_maruyama, power_iteration, irgnm, irgnm2, levenberg_marquardt, alternating, pocs, chambolle_pock, admm, lad, batches, sgd, adam, adadelta, ipalm, lbfgs, ode)}

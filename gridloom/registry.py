@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .frame import bitmask, flag_dims
-from .operators import algorithms, calibration, contract, elementwise, generate, index, kernels, linops, models, nlops, noncartesian, prox, recon, reduce, signals, window
+from .operators import algorithms, calibration, contract, elementwise, generate, index, kernels, linops, models, neural, nlops, noncartesian, prox, recon, reduce, signals, window
 from .sources import arrays
 
 VERSION = "0.2.0"
@@ -21,6 +21,7 @@ OPERATORS = {
     "pics": recon.pics, "itsense": recon.itsense, "pocsense": recon.pocsense, "denoise": recon.denoise, "tgv": recon.tgv, "lrmatrix": recon.lrmatrix, "caldir": recon.caldir, "ecalib": recon.ecalib, "estvar": recon.estvar, "rovir": recon.rovir, "homodyne": recon.homodyne, "estshift": recon.estshift, "poisson": recon.poisson, "mobafit": recon.mobafit, "epg": recon.epg, "pics_penalties": recon.pics_penalties, "ictv": recon.ictv,
     "coils": calibration.coils, "walsh": calibration.walsh, "ecaltwo": calibration.ecaltwo, "phasepole": calibration.phasepole, "nlinv": calibration.nlinv, "ncalib": calibration.ncalib, "rtnlinv": calibration.rtnlinv, "sake": calibration.sake, "wave": calibration.wave, "moba": calibration.moba, "estdelay": calibration.estdelay, "affinereg": calibration.affinereg, "estmotion": calibration.estmotion, "sample": calibration.sample_posterior,
     "nufft": noncartesian.nufft, "nufft_adjoint": noncartesian.nufft_adjoint, "nufft_inverse": noncartesian.nufft_inverse, "nufftbase": noncartesian.nufftbase, "grog": noncartesian.grog,
+    "nnet_fit": neural.fit, "nnet_apply": neural.apply, "threshold_wavelet": prox.wavelet_soft, "threshold_largest": prox.largest, "threshold_low_rank": lambda a, level, flags, block=8: kernels.blockwise(a, flags, lambda x: recon.low_rank_blocks(x, level, block, tuple(i for i in range(min(3, x.ndim))))),
     "sim": signals.simulate, "show": arrays.show, "toimg": arrays.toimg, "multicfl": arrays.write_many, "stl": arrays.read_stl, "version": lambda: VERSION,
     "filter_geometric_median": window.geometric_median, "gradient": window.gradient, "detrend": window.detrend, "bin_quadrature": window.quadrature_bins, "bin_amplitude": window.amplitude_bins, "morphop_ball": window.morph_ball, "label": window.label,
     "ssim": reduce.ssim, "mutual_information": reduce.mutual_information, "centre_of_mass": reduce.centre_of_mass, "confusion": reduce.confusion, "dice": reduce.dice, "accuracy": reduce.accuracy, "cross_entropy": reduce.cross_entropy, "norms": reduce.norms, "percentile": reduce.percentile,

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..frame import ArrayFrame
 
@@ -38,7 +39,7 @@ def loop_whole(stream: DataFrame, dims, slice_dim: int, cells: int, tool: Callab
     def step(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
         df.write.mode("overwrite").parquet(f"{store}/batch={batch}")
-        held = spark.read.schema(df.schema.add("batch", "long")).parquet(store).where(F.col("batch") <= batch)
+        held = spark.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).parquet(store).where(F.col("batch") <= batch)
         whole = held.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("batch").alias("last")).where((F.col("n") == cells) & (F.col("last") == batch))
         ready = held.join(F.broadcast(whole.select(key)), key).drop("batch").select(*df.columns)
         tool(ArrayFrame.of(ready, dims)).df.write.mode("overwrite").parquet(f"{sink}/batch={batch}")

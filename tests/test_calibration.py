@@ -185,3 +185,26 @@ def test_registry_takes_further_operators():
     with pytest.raises(ValueError):
         registry.register("fft", None)
     del registry.OPERATORS["own_test_operator"]
+
+
+def test_phantom_spectrum_is_that_of_the_image(spark):
+    from gridloom.operators import generate, kernels
+
+    image, k = generate.phantom(spark, 96), dense(generate.phantom(spark, 96, k_space=True)).squeeze()
+    want = dense(kernels.fft(image, 3, unitary=True)).squeeze()
+    assert np.linalg.norm(k[32:64, 32:64] - want[32:64, 32:64]) < 0.1 * np.linalg.norm(want)
+    assert dense(generate.phantom(spark, 16, 3)).shape[3] == 3
+
+
+def test_network_and_ode(spark):
+    from gridloom.operators import algorithms as A
+    from gridloom.operators import neural
+
+    x = RNG.normal(size=(2, 400))
+    y = (x[0] * x[1] > 0).astype(float)
+    features = make(spark, x)
+    net = neural.fit(features, make(spark, y[None]), 0, classes=True, hidden=(16,), steps=1500)
+    out = dense(neural.apply(net, features)).squeeze().real
+    assert (out.argmax(0) == y).mean() > 0.93 and np.allclose(out.sum(0), 1)
+    turn = A.ode(lambda t, v: np.array([-v[1], v[0]]), np.array([1.0, 0.0]), 0.0, 2 * math.pi, 1e-9)
+    assert np.allclose(turn, [1, 0], atol=1e-6)
