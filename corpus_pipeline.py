@@ -96,7 +96,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     import public_tokenizers
 
     _begin(spark, docs, "packing-stage")
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), segments=packing.SEGMENTS)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), segments=packing.SEGMENTS, forget=True)
 
 
 STAGES = [

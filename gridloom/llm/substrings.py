@@ -219,7 +219,7 @@ def _read(batches, window):
 
     A third column of the input is carried by the rows of documents."""
     cache, pack, rid, repeats = WordNames(), zstandard.ZstdCompressor(3), TaskContext.get().partitionId() << 40, Repeats()
-    for b in blocks(batches):
+    for b in blocks(batches, most=1_000_000):
         docs = texts(b.column(1))
         w = Words(docs, cache)
         n = len(docs)
@@ -271,7 +271,7 @@ def _windows(batches, window):
 
     flags has a byte for each window of an anchor: 0 to compare, 1 known already but to compare, 2 without digest."""
     cache, unpack, repeats = WordNames(), zstandard.ZstdDecompressor(), Repeats()
-    for b in blocks(batches):
+    for b in blocks(batches, most=1_000_000):
         docs = [unpack.decompress(x) for x in b.column(1).to_pylist()]
         w = Words(docs, cache)
         start, anchor = anchors(w.names, w.first, w.last, window)
