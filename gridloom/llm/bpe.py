@@ -29,6 +29,10 @@ from .common import batch, blocks, tidy
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Bytes of remembered fragments, in each of two generations of two stores of a worker.
+CACHE = 48 << 20
+
+
 class Loose(Exception):
     """A space stands beside white space: not every space begins a fragment."""
 
@@ -67,7 +71,7 @@ class _Fragments(dict):
 class ForcedBoundaryBpe:
     """most: bytes of remembered fragments in each generation of its two stores."""
 
-    def __init__(self, path: str, most: int = 20 << 20):
+    def __init__(self, path: str, most: int = CACHE):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -153,8 +157,8 @@ class ForcedBoundaryBpe:
 
 
 @cache
-def load(path: str) -> ForcedBoundaryBpe:
-    return ForcedBoundaryBpe(path)
+def load(path: str, most: int = CACHE) -> ForcedBoundaryBpe:
+    return ForcedBoundaryBpe(path, most)
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import load
+from .bpe import CACHE, load
 from .common import batch, blocks, tidy
 
 #: Pieces among which a task chooses.
@@ -126,7 +126,7 @@ _DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, s
 
 @tidy
 def _pack(batches, path, limits, end, with_ids, forget):
-    bpe, packer = load(path), Packer(limits, cut=True)
+    bpe, packer = load(path, CACHE // 3 if forget else CACHE), Packer(limits, cut=True)
     base, tail = TaskContext.get().partitionId() << 32, np.uint32(end).tobytes()
     held: dict[int, list] = {}  # documents with pieces still to place: doc_id, ids, tokens left
     count = 0
@@ -160,7 +160,7 @@ def _pack(batches, path, limits, end, with_ids, forget):
 def pack_documents(docs: DataFrame, path: str, tokens: int = 1024, segments: int | None = None, loss_tokens: int | None = None, end: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, forget: bool = False) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
-    forget: tasks drop the vocabulary and remembered fragments at their end, for executors that do other work, too.
+    forget: tasks remember fewer fragments and drop them and the vocabulary at their end, for executors that do other work, too.
     Documents are ids of their text and then the id `end`, all loss-bearing; a limit of None is that of tokens."""
     limits = (tokens, segments or tokens, loss_tokens or tokens)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
