@@ -115,6 +115,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written to the shared folder and read as the next one's input."""
     work = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = work.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before:
+            work.drop(before)
+        before = name.replace(" ", "-")
     return STAGES[-1][1](spark, docs, sf_dir)
