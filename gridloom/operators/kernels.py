@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..frame import ArrayFrame, flag_dims
 
 #: Cells of a block that one task may hold.
-BLOCK_CELLS = 1 << 26
+BLOCK_CELLS = 1 << 24
 
 
 def by(df, names: list[str]):
