@@ -48,6 +48,14 @@ def fmac(a: ArrayFrame | ArrayPair, b: ArrayFrame | None = None, squash: int = 0
     return total(out, squash)
 
 
+def fmac_with_statistics(a: ArrayPair, squash: int):
+    """(index columns, product re and im, mean of the first array where it is not zero, n) in one aggregation over the squashed dimensions."""
+    re, im = C.mul((F.col("re"), F.col("im")), (F.col("re2"), F.col("im2")))
+    rest = [f"d{k}" for k, d in enumerate(a.dims) if d > 1 and not squash >> k & 1]
+    n = F.count_if((F.col("re") != 0) | (F.col("im") != 0))
+    return a.df.groupBy(*rest).agg(F.sum(re).alias("re"), F.sum(im).alias("im"), C.safe(F.sum("re"), n.cast("double")).alias("mean"), n.alias("n"))
+
+
 def matmul(a, b):
     """(d0, d1) times (d1, d2), as (d0, d2)."""
     return fmac(a, b, squash=2)

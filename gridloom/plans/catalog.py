@@ -53,9 +53,8 @@ CU = "WITH c AS (SELECT CAST(c_custkey AS INTEGER) AS d0, c_acctbal AS x FROM cu
 def flagship(spark, sf_dir):
     """Price times discount factor contracted over rows, with statistics of the price over the same dimension."""
     pair = V.lineitem_pair(spark, sf_dir, "l_extendedprice", "1 - l_discount")
-    sums = contract.fmac(pair, squash=ROWS).df.select("d1", "d2", unit("re", 2).alias("revenue"))
-    mean = reduce.avg(pair.first, ROWS, nonzero=True).df.select("d1", "d2", unit("re", 2).alias("mean_price"))
-    return sums.join(mean, ["d1", "d2"])
+    both = contract.fmac_with_statistics(pair, ROWS)
+    return both.select("d1", "d2", unit("re", 2).alias("revenue"), unit("mean", 2).alias("mean_price"))
 
 
 query(LI + f"SELECT d1, d2, {U('sum(l_extendedprice * (1 - l_discount))', 2)} AS revenue, {U('avg(l_extendedprice)', 2)} AS mean_price FROM l GROUP BY d1, d2")(flagship)
