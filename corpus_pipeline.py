@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import exact, packing, simhash, substrings, toxicity
-from gridloom.llm.common import Scratch, release
+from gridloom.llm.common import Scratch, among, release
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -55,7 +55,7 @@ def _first_of_each(spark: SparkSession, rows: DataFrame, groups: DataFrame, work
     for name in ("runs", "index"):
         work.drop(name)
     release(spark)
-    return _documents(rows.join(first, "rid", "left_semi"))
+    return _documents(among(rows, first, "rid", work, "bitmaps"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

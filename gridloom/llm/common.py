@@ -65,6 +65,24 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bitmaps of 4096 numbers, of about 1 KB each, that among() sends to executors at most.
+CHUNKS = 1 << 16
+
+
+def among(rows: DataFrame, numbers: DataFrame, column: str, work: Scratch, name: str) -> DataFrame:
+    """The rows whose number in this bigint column is one of numbers (a column of that name). Rows keep their places: no row is shuffled.
+
+    Numbers go to all executors as bitmaps: for 4096 numbers a map from word number to bits, of words with a one. They
+    are few where numbers are dense, as those that tasks count up. Where there are more than CHUNKS, rows are shuffled."""
+    words = numbers.groupBy(F.shiftright(column, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 as int))")).alias("bits"))
+    entry = F.struct(F.expr("cast(at & 63 as int)").alias("word"), "bits")
+    maps = work.write(words.groupBy(F.shiftright("at", 6).alias("chunk")).agg(F.map_from_entries(F.collect_list(entry)).alias("words")), name)
+    if maps.count() > CHUNKS:
+        return rows.join(numbers.select(column), column, "left_semi")
+    bit = f"shiftright(try_element_at(words, cast(shiftright({column}, 6) & 63 as int)), cast({column} & 63 as int)) & 1L"
+    return rows.join(F.broadcast(maps), (F.shiftright(column, 12) == F.col("chunk")) & (F.expr(bit) == 1), "left_semi")
+
+
 def release(spark: SparkSession) -> None:
     """Ask the driver to notice which shuffles of earlier jobs nothing refers to, so that their files go."""
     import gc

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, release, remix, texts, tidy
+from .common import Scratch, among, blocks, release, remix, texts, tidy
 from .components import connected_components
 from .grouped import group_links
 
@@ -409,7 +409,7 @@ def _similar(spark: SparkSession, docs: DataFrame, words: int, similarity: float
     # sets that are alone under a fingerprint without link need no comparison
     some = distinct.join(near, "least", "left").where("root is not null or k > 1").select(*f, F.coalesce("root", "least").alias("g"))
     members = work.write(sets.join(some, f).select("g", F.col("rep").alias("id"), F.greatest("size", F.lit(1)).alias("w")), "candidates")
-    whole = whole.withColumnRenamed("rid", "id")
+    whole = among(whole.withColumnRenamed("rid", "id"), members, "id", work, "candidates-bitmaps")  # only candidates' texts are shuffled
     same = group_links(spark, members, lambda x: x.join(whole, "id"), partial(_set_roots, words=words, similarity=similarity), WEIGHT, work, "sets")
     roots = connected_components(spark, same, work, "sets-all").withColumnRenamed("v", "rep")
     named = work.write(sets.join(roots, "rep", "left").select("s0", "s1", "id", F.coalesce("root", "rep").alias("root")), "named")

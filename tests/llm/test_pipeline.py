@@ -1,6 +1,6 @@
 import brute
 import corpus_pipeline
-from gridloom.llm import toxicity
+from gridloom.llm import common, toxicity
 from gridloom.llm.common import Scratch
 
 
@@ -60,3 +60,30 @@ def test_empty_table_and_further_columns(spark):
             now = work.write(stage(spark, now, ""), name.replace(" ", "-"))
             assert now.columns == list(corpus_pipeline.COLUMNS) and [r.doc_id for r in now.collect()] == want
         assert len({r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, now, "").collect()}) == len(want)
+
+
+def test_rows_that_stay_are_chosen_without_shuffling_texts(spark):
+    text = " ".join(f"v{i}" for i in range(200))
+    rows = [(i, text + " end" * (i % 3)) for i in range(30)] + [(i, f"text number {i} " + text[i:]) for i in range(30, 60)] + [(99, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are not small
+    try:
+        for stage in (corpus_pipeline.exact_stage, corpus_pipeline.near_stage):
+            out = stage(spark, docs, "")
+            assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString(), stage
+            assert len({r.doc_id for r in out.collect()}) == out.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_among_gives_the_rows_of_the_numbers(spark, monkeypatch):
+    numbers = [0, 1, 63, 64, 4095, 4096, 8191, -1, -64, -4097, (3 << 33) + 5, 2**63 - 1, -(2**63)]
+    rows = spark.createDataFrame([(x + d,) for x in numbers for d in (-1, 0, 1) if -(2**63) <= x + d < 2**63], "id long")
+    given = sorted(r.id for r in rows.collect())
+    for chunks in (common.CHUNKS, 0):  # bitmaps, then rows shuffled
+        monkeypatch.setattr(common, "CHUNKS", chunks)
+        for wanted in (numbers, []):
+            some = spark.createDataFrame([(x,) for x in wanted * 2], "id long")
+            got = common.among(rows, some, "id", Scratch(spark, "test"), "bits")
+            assert sorted(r.id for r in got.collect()) == sorted(x for x in given if x in wanted)
