@@ -116,10 +116,18 @@ def _joined(a, flags: int, value):
     return a.df.join(F.broadcast(known) if small else known, rest)
 
 
-def normalize(a, flags: int, l1: bool = False):
-    """Division by the norm over the flagged dimensions; 0/0 is 0."""
-    df = _joined(a, flags, F.sum(C.mag(_v())) if l1 else F.sqrt(F.sum(C.absq(_v()))))
-    return ArrayFrame(df.select(*a.keys, C.safe(F.col("re"), F.col("m")).alias("re"), C.safe(F.col("im"), F.col("m")).alias("im")), a.dims)
+def normalize(a, flags: int, l1: bool = False, ordered: bool = False):
+    """Division by the norm over the flagged dimensions; 0/0 is 0.
+
+    Ordered: norms are added in index order, each in one task, so that their last bits do not depend on files and tasks."""
+    total = F.sum(C.mag(_v()) if l1 else C.absq(_v()))
+    if ordered:
+        w = Window.partitionBy(*a.complement(flags)).orderBy(*(f"d{k}" for k in reversed(a.selected(flags))))
+        df = a.df.withColumn("m", total.over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    else:
+        df = _joined(a, flags, total)
+    m = F.col("m") if l1 else F.sqrt("m")
+    return ArrayFrame(df.select(*a.keys, C.safe(F.col("re"), m).alias("re"), C.safe(F.col("im"), m).alias("im")), a.dims)
 
 
 def soft_threshold(a, level: float, joint: int = 0):

@@ -203,7 +203,7 @@ def rss_flags(spark, sf_dir):
 
 @query(EV + f"SELECT d0, d1, {U('x / sum(abs(x)) OVER (PARTITION BY d1)', 8)} AS re FROM e")
 def normalize_l1(spark, sf_dir):
-    return cells(elementwise.normalize(V.events(spark, sf_dir), 1, l1=True), 8)
+    return cells(elementwise.normalize(V.events(spark, sf_dir), 1, l1=True, ordered=True), 8)
 
 
 @query(EM + f"SELECT d1, {U('greatest(0, max(x))', 6)} AS top, {U('least(min(x), greatest(0, max(x)))', 6)} AS low FROM m GROUP BY d1")

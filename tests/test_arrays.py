@@ -68,6 +68,14 @@ def test_element_operators(spark, cube):
     near(elementwise.normalize(a, 1), x / np.sqrt((np.abs(x) ** 2).sum(0)))
 
 
+def test_ordered_norms(spark, cube):
+    a, x = cube
+    for flags, axes in ((1, 0), (0b101, (0, 2)), (0b111, None), (0, ())):
+        near(elementwise.normalize(a, flags, ordered=True), x / np.sqrt((np.abs(x) ** 2).sum(axes, keepdims=True)))
+        near(elementwise.normalize(a, flags, l1=True, ordered=True), x / np.abs(x).sum(axes, keepdims=True))
+    near(elementwise.normalize(vec(spark, 0, 0), 1, ordered=True), [0, 0])
+
+
 def test_reductions(spark, cube):
     a, x = cube
     near(reduce.total(a, 0b101), x.sum((0, 2)))
